@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extraction, near_dedup, packing, quality_classifier, quality_rules, secret_scans, token_counts, url_filters
+from . import decontamination, html_extraction, lm_scoring, near_dedup, packing, quality_classifier, quality_rules, secret_scans, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
