@@ -6,7 +6,7 @@ m if at most k = EDITS * m edits turn one into the other. Then the two share at
 on diagonals that differ by at most k. So shared q-grams are counted in overlapping bands of diagonals twice as wide as
 that, each sharing half with the next: some band holds the whole match. Bands that meet the bound are verified by an alignment within the band.
 
-The windows' q-grams are broadcast in blocks of BLOCK items, a fixed size; documents are read once for each block, each in pieces that overlap
+The windows' q-grams are broadcast in blocks of BLOCK_CHARS characters, a fixed size; documents are read once for each block, each in pieces that overlap
 by more than a window, so a text's length doesn't matter. Documents are never shuffled for the search.
 
 Defined cases: null or empty texts match nothing; items of under MIN_ITEM characters are too short to tell and are left out; an empty benchmark
@@ -26,13 +26,18 @@ from pyspark.sql import functions as F
 from .common import table, whole
 
 Q, WINDOW, EDITS, MIN_ITEM = 8, 120, 0.1, 40
-BLOCK, PIECE = 20_000, 1 << 20
+BLOCK, BLOCK_CHARS, PIECE = 20_000, 2_000_000, 1 << 20
 FOUND = "array<struct<item_id:bigint,start:int,end:int,distance:int,windows:int>>"
 _other = re.compile(r"[\W_]+")
 _p1, _p2, _p4 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+_ascii = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+
+
 def plain(text: str) -> str:
+    if text.isascii():
+        return b" ".join(text.encode().translate(_ascii).split()).decode()
     return _other.sub(" ", text.lower()).strip()
 
 
@@ -79,6 +84,7 @@ class Index:
         self.bits = max(16, int(len(self.values)).bit_length() + 5)
         self.table = np.zeros(1 << self.bits, bool)
         self.table[(self.values >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.masks = [masks_of(w) for _, w in self.windows]
         m = np.array([len(w) for _, w in self.windows], np.int64)
         self.edits = (m * EDITS).astype(np.int64)
         self.bound = m - Q + 1 - self.edits * Q
@@ -124,20 +130,73 @@ class Index:
         width = self.edits[w] + 1
         diagonal = at[each] - self.place[entry] + self.longest  # not below zero
         band = diagonal // width
-        # band b of two holds the diagonals of strips b - 1 and b, so each strip is in two
+        # band b is strips b - 1 and b, so each strip is in two; the bound is on the window's q-grams, so one that comes again in a strip counts once
         two = 2 * ((len(codes) + 2 * self.longest) + 2)
-        keys = np.concatenate([w * two + band, w * two + band + 1])
-        keys, counts = np.unique(keys, return_counts=True)
+        keys = (w * two + band) * WINDOW + self.place[entry]
+        keys.sort()
+        keys = keys[np.append(True, keys[1:] != keys[:-1])] // WINDOW
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        strip, n = keys[first], np.diff(np.append(first, len(keys)))
+        follows = np.append(strip[1:] == strip[:-1] + 1, False)
+        upper = n + np.where(follows, np.append(n[1:], 0), 0)  # band strip + 1
+        alone = ~np.append(False, follows[:-1])  # band strip, which has no rows of strip - 1
+        keys, counts = np.concatenate([strip + 1, strip[alone]]), np.concatenate([upper, n[alone]])
         w, band = keys // two, keys % two
         for i in np.flatnonzero(counts >= self.bound[w]):
             x = int(w[i])
             window, edits = self.windows[x][1], int(self.edits[x])
             low = (int(band[i]) - 1) * (edits + 1) - self.longest
-            got = banded(window, codes, low, low + 2 * (edits + 1) - 1, edits)
+            high = low + 2 * (edits + 1) - 1
+            region = codes[max(0, low) : max(0, high + len(window))]
+            if (same := exact(window, region)) is not None:
+                yield x, max(0, low) + same, max(0, low) + same + len(window), 0
+                continue
+            if not within(self.masks[x], len(window), region.tolist(), edits):
+                continue
+            got = banded(window, codes, low, high, edits)
             if got:
                 yield (x, *got)
 
 
+def exact(window: np.ndarray, region: np.ndarray) -> int | None:
+    """Where region holds the window unchanged."""
+    w, r, at = window.tobytes(), region.tobytes(), -1
+    while (at := r.find(w, at + 1)) >= 0:
+        if at % 4 == 0:
+            return at // 4
+    return None
+
+
+def masks_of(window: np.ndarray) -> dict[int, int]:
+    """Of each code point: the places where the window has it, as bits."""
+    out: dict[int, int] = {}
+    for i, c in enumerate(window.tolist()):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def within(masks: dict[int, int], m: int, codes: list[int], edits: int) -> bool:
+    """Whether some part of codes is within the edits of the window: a bit-parallel distance, so that few bands need the full alignment."""
+    ones = (1 << m) - 1
+    last, plus, minus, score = 1 << (m - 1), ones, 0, m
+    for c in codes:
+        eq = masks.get(c, 0)
+        x = eq | minus
+        d = ((((x & plus) + plus) ^ plus) | x) & ones
+        up = minus | (ones & ~(d | plus))
+        down = plus & d
+        if up & last:
+            score += 1
+        elif down & last:
+            score -= 1
+            if score <= edits:
+                return True
+        up <<= 1
+        plus = ((down << 1) | (ones & ~(d | up))) & ones
+        minus = up & d & ones
+    return score <= edits
+
+
 def banded(window: np.ndarray, codes: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
     """(start, end, distance) of the best place of window in codes on the diagonals low to high with at most `edits` edits; else None.
 
@@ -182,13 +241,14 @@ def with_found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, BLOCK at a time."""
-    block: list[tuple[int, str]] = []
+    """The items, at most BLOCK items and BLOCK_CHARS characters (or one item) at a time."""
+    block, chars = [], 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        if len(block) == BLOCK:
+        if block and (len(block) == BLOCK or chars + len(r["text"]) > BLOCK_CHARS):
             yield block
-            block = []
+            block, chars = [], 0
+        block.append((r["item_id"], r["text"]))
+        chars += len(r["text"])
     yield block
 
 
