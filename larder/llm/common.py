@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to this many rows; its rows have a fixed width of a few hundred bytes at most.
-BROADCAST_ROWS = 50_000
+#: A side of a join is broadcast up to this many rows and bytes in its strings.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,9 +50,11 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def sized(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """side with a broadcast hint if it has at most `limit` rows; else as it is, for a shuffled join whose skew AQE splits."""
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+def sized(side: DataFrame) -> DataFrame:
+    """side, which should be stored, with a broadcast hint if it is small; else as it is, for a shuffled join whose skew AQE splits."""
+    strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in side.dtypes if t in ("string", "binary")]
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(sum(strings, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(side) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else side
 
 
 def whole(docs: DataFrame) -> Column:

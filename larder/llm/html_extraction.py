@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sized, stored, table
 from .url_filters import host_of
 
 TAG = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>)", re.S)
@@ -227,14 +227,9 @@ def with_main_text(pages: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns of pages, text and n_chars."""
     won = winners(pages)
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), host_of(F.col("url")).alias("_host"), F.col("html").alias("_html"))
-    few = won.limit(HOSTS + 1).count() <= HOSTS
-    rows = rows.join(F.broadcast(won) if few else won, "_host", "left")
+    rows = rows.join(sized(won), "_host", "left")  # beyond the broadcast size both sides are shuffled and AQE splits hot hosts
     return rows.select("_row", extracted(F.col("_html"), F.col("_path")).alias("text")).select("_row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-#: Up to this many hosts, of a hundred bytes or so each, the winners are broadcast; beyond, both sides are shuffled and AQE splits hot hosts.
-HOSTS = 20_000
-
-
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])

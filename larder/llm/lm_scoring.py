@@ -364,8 +364,9 @@ def base_scores(texts: DataFrame) -> DataFrame:
     total, kinds = counts.agg(F.sum("c"), F.count("*")).first()
     ends = texts.where("NOT held_out").count()
     n, v = (total or 0) + ends, kinds + (ends > 0)
-    often = counts.where(F.col("c") * FREQUENT >= n)  # at most FREQUENT rows, for their counts add up to n at most
-    rest = counts.where(F.col("c") * FREQUENT < n)
+    # at most FREQUENT rows, for their counts add up to n at most, of bounded length
+    is_often = (F.col("c") * FREQUENT >= n) & (F.octet_length("word") <= 256)
+    often, rest = counts.where(is_often), counts.where(~is_often)
     tagged = pairs.join(F.broadcast(often.withColumnsRenamed({"word": "words", "c": "often"})), "words", "left")
     sums = lambda c: [F.sum(F.col("counts") * F.log10(c + 1.0)).alias("logs"), F.sum(F.when(c > 0, F.col("counts")).otherwise(0)).alias("known")]
     common = tagged.where("often IS NOT NULL").groupBy("rid").agg(*sums(F.col("often")))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, whole
+from .common import stored, table, whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, start of the path)
@@ -81,7 +81,7 @@ def maybe_in(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def filtered(rows: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """_row (all columns of rows), _host, _path, _rule and _verdict; listed has canonical URLs in its column url, repeats allowed."""
-    listed = listed.where("url IS NOT NULL").select("url").distinct()
+    listed = stored(listed.where("url IS NOT NULL").select("url").distinct(), "listed-urls")
     shared = rows.sparkSession.sparkContext.broadcast(bloom(listed))
     probe = F.pandas_udf(lambda h: pd.Series(maybe_in(shared.value, h.to_numpy())), "boolean")
     u = F.col(f"`{url}`")
