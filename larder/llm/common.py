@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many rows and bytes in its strings.
@@ -42,6 +42,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """stored(), and the number of its rows (or of those for which `what` holds), counted by the job that writes them."""
+    seen = Observation()
+    one = F.lit(1) if what is None else F.when(what, 1)
+    return stored(df.observe(seen, F.count(one).alias("n")), label), seen.get["n"]
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a frame that stored() made and that nothing reads any more."""
     spark = df.sparkSession
