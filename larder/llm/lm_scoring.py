@@ -17,8 +17,9 @@ rows with the same or null ids are scored one by one (a null id counts as empty
 from __future__ import annotations
 
 import base64
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +35,7 @@ WINDOW, STRIDE = 32, 24
 SIZE, HIDDEN, MIXED = 16, 16, 16
 SAMPLE, STEPS, BATCH, PER_TEXT = 8192, 240, 192, 4
 SMOOTH = 50.0
-CACHED = 400_000
+CACHED, SLICE, TOGETHER = 400_000, 256, 256
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -58,10 +59,11 @@ class Words:
     def __init__(self, path: str):
         self.encode, self.seen = encoder(path).encode_ordinary, {}
 
-    def ids(self, words: list[bytes]) -> bytes:
+    def ids(self, words: list[bytes], distinct: Iterable[bytes] | None = None) -> bytes:
         seen = self.seen
-        for w in set(words).difference(seen):
-            seen[w] = np.array(self.encode(" " + w.decode()), np.uint16).tobytes()
+        for w in set(words) if distinct is None else distinct:
+            if w not in seen:
+                seen[w] = array("H", self.encode(" " + w.decode())).tobytes()
         out = b"".join(map(seen.__getitem__, words))
         if len(seen) > CACHED:
             self.seen = {}
@@ -78,17 +80,22 @@ def read(text: Column, path: str) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            vocabulary = words_of(path)
-            n, ids, words, counts = [], [], [], []
-            for t in batch.cast(pa.string()).to_pylist():
-                ws = (t or "").encode().translate(_lower).split()
-                tally = Counter(ws)
-                n.append(len(ws))
-                ids.append(vocabulary.ids(ws))
-                words.append(list(tally))
-                counts.append(list(tally.values()))
-            arrays = [pa.array(n, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), pa.array(ids, pa.binary())]
-            yield pa.StructArray.from_arrays(arrays, ["n_words", "words", "counts", "ids"])
+            # a few texts at a time, for their words as Python objects take many times the room of the text
+            parts = [part(batch.slice(at, SLICE)) for at in range(0, len(batch), SLICE)] or [part(batch)]
+            yield pa.concat_arrays(parts)
+
+    def part(batch: pa.Array) -> pa.Array:
+        vocabulary = words_of(path)
+        n, ids, words, counts = [], [], [], []
+        for t in batch.cast(pa.string()).to_pylist():
+            ws = (t or "").encode().translate(_lower).split()
+            tally = Counter(ws)
+            n.append(len(ws))
+            ids.append(vocabulary.ids(ws, tally))
+            words.append(list(tally))
+            counts.append(list(tally.values()))
+        arrays = [pa.array(n, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), pa.array(ids, pa.binary())]
+        return pa.StructArray.from_arrays(arrays, ["n_words", "words", "counts", "ids"])
 
     return F.arrow_udf(run, "n_words long, words array<binary>, counts array<int>, ids binary")(text)
 
@@ -148,7 +155,8 @@ class Attention:
         s = np.where((x < 0)[:, None, :] & ~np.eye(WINDOW, dtype=bool), np.float32(-1e9), s)
         a = softmax(s)
         o = a @ v
-        h = np.tanh(o @ p["o"] + e @ p["r"] + p["bh"])
+        h = o @ p["o"] + e @ p["r"] + p["bh"]
+        h /= 1 + np.abs(h)
         pi = softmax(h @ p["u"] + p["b"])
         dist = softmax(p["z"].copy())
         joint = pi * dist.T[ys]
@@ -160,7 +168,7 @@ class Attention:
         hit = np.stack([np.bincount(ys.ravel(), resp[..., c].ravel(), self.end + 1) for c in range(MIXED)]).astype(np.float32)
         g["z"] = (hit.sum(1, keepdims=True) * dist - hit) / np.float32(n)
         g["u"], g["b"] = np.einsum("blh,blk->hk", h, dg), dg.sum((0, 1))
-        dt = (dg @ p["u"].T) * (1 - h * h)
+        dt = (dg @ p["u"].T) * (1 - np.abs(h)) ** 2
         g["o"], g["r"], g["bh"] = np.einsum("blh,blk->hk", o, dt), np.einsum("blh,blk->hk", e, dt), dt.sum((0, 1))
         do, de = dt @ p["o"].T, dt @ p["r"].T
         da, dv = do @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ do
@@ -202,30 +210,42 @@ class Tables:
         self.end, self.dist = end, dist
         pad = np.zeros((1, SIZE), np.float32)  # row -1 is outside of the text
         self.q = np.concatenate([p["emb"] @ p["q"] * np.float32(SIZE**-0.5), pad])
-        self.k, self.v = (np.concatenate([p["emb"] @ p[n], pad]) for n in "kv")
+        self.k, v = (np.concatenate([p["emb"] @ p[n], pad]) for n in "kv")
+        self.v = np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)  # the last column adds up the weights
         self.r = np.concatenate([p["emb"] @ p["r"] + p["bh"], pad])
         self.o, self.u, self.b = p["o"], p["u"], p["b"]
         c = WINDOW - STRIDE
-        self.bias = np.where(future, np.float32(-1e9), p["rel"][lag])[c:]
+        self.rel, self.seen = p["rel"][lag][c:], np.where(future, np.float32(0), np.float32(1))[c:]
+        # with exponents in this range single precision needs no shift by the largest
+        top = np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max() + np.abs(self.rel).max()
+        self.plain = bool(top < 60 and np.abs(self.u).sum(0).max() + np.abs(self.b).max() < 60)
 
     def weighted(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a window's last STRIDE places: the joint weights of components and targets, and these targets."""
         c = WINDOW - STRIDE
         late, y = x[:, c:], y[:, c:]
-        s = self.q[late] @ self.k[x].swapaxes(1, 2)
-        s += self.bias
-        if (x < 0).any():
-            s += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(-1, keepdims=True)
+        s = self.q.take(late, 0) @ self.k.take(x, 0).swapaxes(1, 2)
+        s += self.rel
+        if not self.plain:
+            s -= np.where((self.seen > 0) & (x >= 0)[:, None, :], s, np.float32(-1e30)).max(-1, keepdims=True)
+            np.minimum(s, 0, out=s)
         np.exp(s, out=s)
-        total = s.sum(-1, keepdims=True)
-        h = (s @ self.v[x]) / total
-        h = np.tanh(h @ self.o + self.r[late])
-        g = h @ self.u + self.b
-        g -= g.max(-1, keepdims=True)
+        s *= self.seen
+        if (x < 0).any():
+            s *= (x >= 0).astype(np.float32)[:, None, :]
+        h = s @ self.v.take(x, 0)
+        h = (h[..., :-1] / np.maximum(h[..., -1:], np.float32(1e-30))).reshape(-1, SIZE) @ self.o
+        h += self.r.take(late.ravel(), 0)
+        h /= 1 + np.abs(h)
+        g = (h @ self.u).reshape(*late.shape, MIXED)
+        g += self.b
+        if not self.plain:
+            g -= g.max(-1, keepdims=True)
         np.exp(g, out=g)
-        g /= g.sum(-1, keepdims=True)
-        g *= self.dist[np.maximum(y, 0)]
+        # weights over components, which add up to one, times what each gives the target
+        total = g @ np.ones((MIXED, 1), np.float32)
+        g *= self.dist.take(np.maximum(y, 0), 0)
+        g /= total
         return g, y
 
 
@@ -265,12 +285,12 @@ def batches(ids: list[bytes], end: int) -> Iterator[tuple[int, np.ndarray, np.nd
     for run in groups(ids):
         if len(run) == 1 and len(run[0]) > 1 << 20:
             for x, y in pieces(run[0], end):
-                for at in range(0, len(x), 2048):
-                    yield first, x[at : at + 2048], y[at : at + 2048], np.zeros(len(x[at : at + 2048]), np.int64)
+                for at in range(0, len(x), TOGETHER):
+                    yield first, x[at : at + TOGETHER], y[at : at + TOGETHER], np.zeros(len(x[at : at + TOGETHER]), np.int64)
         else:
             x, y, text = windows(*strung(run, end), end)
-            for at in range(0, len(x), 2048):
-                yield first, x[at : at + 2048], y[at : at + 2048], text[at : at + 2048]
+            for at in range(0, len(x), TOGETHER):
+                yield first, x[at : at + TOGETHER], y[at : at + TOGETHER], text[at : at + TOGETHER]
         first += len(run)
 
 
@@ -279,8 +299,8 @@ def log_probabilities(model: Tables, ids: list[bytes]) -> np.ndarray:
     out = np.zeros(len(ids))
     for first, x, y, text in batches(ids, model.end):
         g, y = model.weighted(x, y)
-        p = np.log10(np.maximum(g.sum(-1, dtype=np.float64), 1e-300)) * (y >= 0)
-        np.add.at(out, first + text, p.sum(1))
+        p = np.log10(np.maximum((g @ np.ones((MIXED, 1), np.float32))[..., 0], np.float32(1e-37))) * (y >= 0)
+        out += np.bincount(first + text, p.sum(1, dtype=np.float64), len(out))
     return out
 
 
@@ -328,15 +348,29 @@ def explained(texts: DataFrame, model: Tables) -> np.ndarray:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        total = np.zeros((MIXED, m.end + 1))
+        total, ids, shares, held = np.zeros((MIXED, m.end + 1)), [], [], 0
+
+        def add() -> None:
+            all_ids, all_shares = np.concatenate(ids), np.concatenate(shares)
+            for c in range(MIXED):
+                total[c] += np.bincount(all_ids, all_shares[:, c], m.end + 1)
+            ids.clear()
+            shares.clear()
+
         for part in parts:
             for _, x, y, _ in batches(part.column(0).to_pylist(), m.end):
                 g, y = m.weighted(x, y)
-                g /= np.maximum(g.sum(-1, keepdims=True), 1e-30)
                 has = y >= 0
-                ids, share = y[has], g[has]
-                for c in range(MIXED):
-                    total[c] += np.bincount(ids, share[:, c], m.end + 1)
+                g = g[has]
+                g /= np.maximum(g @ np.ones((MIXED, 1), np.float32), np.float32(1e-30))
+                ids.append(y[has])
+                shares.append(g)
+                held += len(g)
+                if held > 1 << 18:
+                    add()
+                    held = 0
+        if ids:
+            add()
         used = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[c, used]) for c in range(MIXED)]], ["id", *[f"c{c}" for c in range(MIXED)]])
 

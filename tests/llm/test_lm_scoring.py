@@ -59,7 +59,8 @@ def plain_score(m, ids):
         e = p["emb"][[xs[j] for j in ctx]]
         s = (p["emb"][xs[t]] @ p["q"]) @ (e @ p["k"]).T * lm.SIZE**-0.5 + p["rel"][[t - j for j in ctx]]
         o = lm.softmax(s) @ (e @ p["v"])
-        h = np.tanh(o @ p["o"] + p["emb"][xs[t]] @ p["r"] + p["bh"])
+        h = o @ p["o"] + p["emb"][xs[t]] @ p["r"] + p["bh"]
+        h = h / (1 + np.abs(h))
         mix = lm.softmax(h @ p["u"] + p["b"]) @ dist
         assert math.isclose(mix.sum(), 1, rel_tol=1e-5)
         total += math.log10(mix[y])
