@@ -15,7 +15,7 @@ def test_stages_against_plain_python(spark, tmp_path):
         if i % 9 == 0:
             ws[20:20] = items[i % 3].split()
         if i % 7 == 0:
-            ws[30:30] = ["password:", "hunter22x"]
+            ws[10:10] = ["password:", "hunter22x"]
         rows.append((i, " ".join(ws), "en", f"s{i % 3}"))
         if i % 5 == 0:
             rows.append((100 + i, " ".join(edited(rng, ws, 1)), "en", "s0"))
@@ -40,7 +40,7 @@ def test_stages_against_plain_python(spark, tmp_path):
     for d, c in zip(ids, brute([good[d] for d in ids]), strict=True):
         first.setdefault(c, d)
     assert seen[1] == {d: good[d] for d in first.values()}
-    plain = [decontamination.plain(t) for t in items]
+    plain = [decontamination.plain(t)[:100] for t in items]
     clean = {d: t for d, t in seen[1].items() if not any(p in decontamination.plain(t) for p in plain)}
     assert seen[2] == clean and len(clean) < len(seen[1])
     assert seen[3] == {d: t.replace("password: hunter22x", f"password: {secret_scans.MARK}") for d, t in clean.items()}
