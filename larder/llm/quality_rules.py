@@ -74,10 +74,8 @@ def counts(text: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """keep, lang, source, COUNTS and the rates of every row, written once, for the text is read twice otherwise."""
+def flat(got: DataFrame) -> DataFrame:
     c = F.col("_c")
-    got = stored(docs.select(*keep, F.col("lang").alias("_lang"), F.col("source").alias("_source"), counts(F.col("text")).alias("_c")), "quality-rules")
     return got.select(
         *[x for x in got.columns if x != "_c"],
         c["w"]["n_words"].alias("_n_words"), c["w"]["word_chars"].alias("_word_chars"), c["n_symbols"].alias("_n_symbols"),
@@ -85,6 +83,12 @@ def measured(docs: DataFrame, keep: list[Column]) -> DataFrame:
     )
 
 
+def measured(docs: DataFrame, keep: list[Column], store: bool = True) -> DataFrame:
+    """keep, _lang, _source and COUNTS of every row, written once if they are to be read twice."""
+    got = docs.select(*keep, F.col("lang").alias("_lang"), F.col("source").alias("_source"), counts(F.col("text")).alias("_c"))
+    return flat(stored(got, "quality-rules") if store else got)
+
+
 def rates() -> dict[str, Column]:
     per = lambda a, b, scale: F.expr(f"CAST({a} * {scale} AS BIGINT) DIV greatest({b}, 1)")
     return {
@@ -132,12 +136,13 @@ def fences(sketch: DataFrame, min_group: int, spread: int) -> DataFrame:
     return q.groupBy("level", "lang", "source").agg(*[at(k, "hi") for k in SLACK], at("word_length", "lo"))
 
 
-def judged(m: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """measured() with _base_failed and _kept."""
+def judged(m: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD, rows: DataFrame | None = None) -> DataFrame:
+    """measured() rows (m itself, or others) with _base_failed and _kept by the cut-offs of m."""
     all_fences = stored(fences(sketches(m), min_group, spread), "fences")
     cuts = [c for c in all_fences.columns if c[:3] in ("hi_", "lo_")]
     of = lambda level, *keys: all_fences.where(F.col("level") == level).select(*[F.col(k).alias(f"_k{level}_{k}") for k in keys], F.struct(*cuts).alias(f"_f{level}"))
     own, lang, overall = of(2, "lang", "source"), of(1, "lang"), of(0)
+    m = m if rows is None else rows
     out = m.join(sized(own), m["_lang"].eqNullSafe(own["_k2_lang"]) & m["_source"].eqNullSafe(own["_k2_source"]), "left")
     out = out.join(sized(lang), out["_lang"].eqNullSafe(lang["_k1_lang"]), "left")
     first = overall.first()
@@ -152,9 +157,12 @@ def judged(m: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> Da
 
 
 def keep_good(docs: DataFrame, min_group: int = MIN_GROUP, spread: int = SPREAD) -> DataFrame:
-    """The rows of docs that pass, with their own columns; docs needs text, lang and source."""
-    rows = judged(measured(docs, [whole(docs).alias("_row")]), min_group, spread)
-    return rows.where("_kept").select("_row.*")
+    """The rows of docs that pass, with their own columns; docs needs text, lang and source.
+
+    Counts are written without the texts for the cut-offs and worked out again for the filter, which takes time but no second copy on disk.
+    """
+    rows = measured(docs, [whole(docs).alias("_row")], store=False)
+    return judged(measured(docs, []), min_group, spread, rows).where("_kept").select("_row.*")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
