@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -10,6 +11,10 @@ def words(rng, n):
     return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).digest()
+
+
 def jaccard(a, b):
     sa, sb = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
     return len(sa & sb) / len(sa | sb)
@@ -91,3 +96,40 @@ def test_hashes_do_not_depend_on_white_space_or_length():
     assert len(shingles(word_hashes("a b c d e f"))) == 2 and len(shingles(word_hashes("a b"))) == 1 and not len(shingles(word_hashes(" ")))
     s = np.array([5, 7, 5, 5], np.uint64)
     assert len(set(labelled(s).tolist())) == 4 and labelled(s)[0] == 5 and SHINGLE == 5
+
+
+def test_pairs_in_a_crowd_around_one_template(spark):
+    rng = random.Random(8)
+    template = words(rng, 300)
+    own = [words(rng, 45) for _ in range(60)]
+    texts = [" ".join(template + w) for w in own]  # 0.75 to each other
+    texts += [" ".join(template + edited(rng, w, 6)) for w in own[:30]]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r._id: r._class for r in nd.near_classes(df).collect()}
+    assert got == dict(enumerate(brute(texts)))
+
+
+def test_a_member_that_joined_its_leader_still_meets_the_others(spark, monkeypatch):
+    rng, crowded = random.Random(10), lambda text: (list(range(1, 21)), len(text.split()) - 4)
+    top = [""]
+    while sha(top[0]) != max(map(sha, top)) or len(top) == 1:  # the first leads: among equally central ones the largest hash
+        base, b1, b2 = words(rng, 300), words(rng, 25), words(rng, 25)
+        top = [" ".join(base), " ".join(b1 + base[25:]), " ".join(b1 + base[25:-25] + b2), " ".join(words(rng, 300))]
+    assert nd.similar(top[0], top[1]) and nd.similar(top[1], top[2]) and not nd.similar(top[0], top[2])
+    monkeypatch.setattr(nd, "order_minhash", crowded)
+    df = spark.createDataFrame(list(enumerate(top)), "doc_id long, text string")
+    assert {r._id: r._class for r in nd.near_classes(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+def test_candidates_hold_every_similar_pair(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(10):
+        base = words(rng, 40) * rng.randrange(1, 4)
+        texts += [" ".join(edited(rng, base, k)) for k in range(6)]
+    texts += [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))) for _ in range(30)]
+    texts = sorted(set(texts))
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "num long, label long, text string")
+    got = {(r.i, r.j) for r in nd.candidates(df, 0.8).collect()}
+    assert {(i, j) for j in range(len(texts)) for i in range(j) if nd.similar(texts[i], texts[j])} <= got
