@@ -5,7 +5,9 @@ counts are broadcast; the other words of a text meet their counts in a join by w
 
 Attention model. A text is its words' subword ids and an end mark. From the ids before it, self-attention and one hidden layer give each
 position weights over K distributions of ids, and their mixture is the next id's probability; it sums to one over the vocabulary.
-First SAMPLE windows of the training texts, chosen by hash over all of them, fit all parameters by gradient descent on the driver. Then one
+SAMPLE windows of the training texts, chosen by hash over all of them, give a start by gradient descent on the driver. Then all windows of all
+training texts, each once, fit the attention's parameters: in each of ROUNDS rounds the tasks descend over their texts of that round from common
+parameters, and the driver adds their moves, weighted by what each has seen; sums of a fixed size come back. At last one
 expectation-maximisation pass over every training text estimates the K distributions anew: executors add up how much each component explains of
 each id, and only these sums, of a fixed size, come back. Scoring cuts texts into windows of WINDOW ids of which the last STRIDE
 are scored, each id once, with what precedes in the window as context; windows of many texts go through masked attention in one batch.
@@ -34,6 +36,7 @@ FREQUENT = 20_000
 WINDOW, STRIDE = 32, 24
 SIZE, HIDDEN, MIXED = 16, 16, 16
 SAMPLE, STEPS, BATCH, PER_TEXT = 8192, 240, 192, 4
+ROUNDS, RATE = 4, 0.004
 SMOOTH = 50.0
 CACHED, SLICE, TOGETHER = 400_000, 256, 256
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -143,8 +146,8 @@ class Attention:
         lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
         self.lag, self.future = np.maximum(lag, 0), lag < 0
 
-    def loss(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss in nats over the places with a target, and the gradients."""
+    def loss(self, x: np.ndarray, y: np.ndarray, dist: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss in nats over the places with a target, and the gradients. With fixed distributions (components by ids) z is what they explain of each id."""
         p, scale = self.p, np.float32(SIZE**-0.5)
         has, xs, ys = (y >= 0).astype(np.float32)[..., None], np.where(x < 0, self.end + 1, x), np.maximum(y, 0)
         n = max(float(has.sum()), 1.0)
@@ -158,7 +161,8 @@ class Attention:
         h = o @ p["o"] + e @ p["r"] + p["bh"]
         h /= 1 + np.abs(h)
         pi = softmax(h @ p["u"] + p["b"])
-        dist = softmax(p["z"].copy())
+        fixed = dist is not None
+        dist = dist if fixed else softmax(p["z"].copy())
         joint = pi * dist.T[ys]
         total = joint.sum(-1, keepdims=True) + 1e-30
         resp = joint / total * has
@@ -166,7 +170,7 @@ class Attention:
         g: dict[str, np.ndarray] = {}
         dg = (pi * has - resp) / n
         hit = np.stack([np.bincount(ys.ravel(), resp[..., c].ravel(), self.end + 1) for c in range(MIXED)]).astype(np.float32)
-        g["z"] = (hit.sum(1, keepdims=True) * dist - hit) / np.float32(n)
+        g["z"] = hit if fixed else (hit.sum(1, keepdims=True) * dist - hit) / np.float32(n)
         g["u"], g["b"] = np.einsum("blh,blk->hk", h, dg), dg.sum((0, 1))
         dt = (dg @ p["u"].T) * (1 - np.abs(h)) ** 2
         g["o"], g["r"], g["bh"] = np.einsum("blh,blk->hk", o, dt), np.einsum("blh,blk->hk", e, dt), dt.sum((0, 1))
@@ -381,13 +385,72 @@ def explained(texts: DataFrame, model: Tables) -> np.ndarray:
     return out
 
 
+def descended(texts: DataFrame, model: Attention, rate: float) -> np.ndarray:
+    """Moves the model's parameters but z by a pass over all windows of texts; ids by components as in explained()."""
+    small = [k for k in model.p if k not in ("emb", "z")]
+    dist = np.ascontiguousarray((softmax(model.p["z"].astype(np.float64)) if model.dist is None else model.dist.T), np.float32)
+    shared = texts.sparkSession.sparkContext.broadcast((model, dist))
+    names = [f"c{c}" for c in range(SIZE)]
+    flat = lambda p: np.concatenate([p[k].ravel() for k in small]).reshape(-1, SIZE)
+    top = model.end + 2
+    rows = len(flat(model.p))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, dist = shared.value
+        m = Attention(first.end)
+        m.p = {k: v.copy() for k, v in first.p.items()}
+        hits, met, seen, t = np.zeros((MIXED, m.end + 1)), np.zeros(top), 0, 0
+        state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items() if k != "z"}
+        for part in parts:
+            for _, x, y, _ in batches(part.column(0).to_pylist(), m.end):
+                y = y.copy()
+                y[:, : WINDOW - STRIDE] = -1  # these are targets of the window before
+                _, g = m.loss(x, y, dist)
+                hits += g.pop("z")
+                met += np.bincount(x[x >= 0], minlength=top)
+                seen, t = seen + int((y >= 0).sum()), t + 1
+                for k, (a, b) in state.items():
+                    a += 0.1 * (g[k] - a)
+                    b += 0.01 * (g[k] * g[k] - b)
+                    m.p[k] -= (rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        if not seen:
+            return
+        used, told = np.flatnonzero(met), np.flatnonzero(hits.sum(0))
+        ids = np.concatenate([used, np.arange(top, top + rows), top + rows + told])
+        weight = np.concatenate([met[used], np.full(rows, float(seen)), np.zeros(len(told))])
+        move = np.concatenate([(m.p["emb"] - first.p["emb"])[used], flat(m.p) - flat(first.p)]) * weight[: len(used) + rows, None]
+        values = np.concatenate([move, hits[:, told].T])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(weight), *[pa.array(np.ascontiguousarray(values[:, c])) for c in range(SIZE)]], ["id", "w", *names])
+
+    sums = [F.sum(n).alias(n) for n in ("w", *names)]
+    got = texts.select("ids").mapInArrow(run, "id int, w double, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*sums).toPandas()
+    ids, w, v = got["id"].to_numpy(), got["w"].to_numpy(), got[names].to_numpy()
+    told, hits = ids >= top + rows, np.zeros((model.end + 1, MIXED))
+    hits[ids[told] - top - rows] = v[told]
+    move = np.zeros((top + rows, SIZE), np.float32)
+    move[ids[~told]] = v[~told] / w[~told, None]
+    model.p["emb"] += move[:top]
+    rest, at = move[top:].ravel(), 0
+    for k in small:
+        model.p[k] += rest[at : at + model.p[k].size].reshape(model.p[k].shape)
+        at += model.p[k].size
+    return hits
+
+
+def smoothed(n: np.ndarray) -> np.ndarray:
+    u = n.sum(1) + 0.5
+    u /= u.sum()
+    return (n + SMOOTH * u[:, None]) / (n.sum(0) + SMOOTH)
+
+
 def trained(texts: DataFrame, end: int) -> Attention:
     """texts: rid and ids of the training texts."""
     model = started(texts, end)
-    n = explained(texts, model.tables())
-    u = n.sum(1) + 0.5
-    u /= u.sum()
-    model.dist = (n + SMOOTH * u[:, None]) / (n.sum(0) + SMOOTH)
+    n = np.zeros((end + 1, MIXED))
+    for k in range(ROUNDS):
+        n += descended(texts.where(F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == k), model, RATE * (1 - k / ROUNDS))
+        model.dist = smoothed(n)
+    model.dist = smoothed(explained(texts, model.tables()))
     return model
 
 

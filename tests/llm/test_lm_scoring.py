@@ -98,6 +98,14 @@ def test_gradients():
         assert math.isclose((up - down) / 2e-5, float(g[k][i]), rel_tol=1e-3, abs_tol=1e-8)
 
 
+def test_every_training_id_moves_its_embedding(spark):
+    end, rng = 300, np.random.default_rng(4)
+    long = np.concatenate([rng.permutation(end) for _ in range(3)]).astype(np.uint16)
+    texts = spark.createDataFrame([(0, bytearray(long.tobytes())), (1, bytearray(long[:50].tobytes()))], "rid long, ids binary")
+    moved = (lm.trained(texts, end).p["emb"] != lm.Attention(end).p["emb"]).any(1)
+    assert moved[:end].all()
+
+
 def test_empty_and_odd_tables(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([(None, None, False), (1, "", True), (1, "", True), (2, "A a\ta", False)], "_id long, text string, held_out boolean")
