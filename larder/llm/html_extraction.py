@@ -57,6 +57,15 @@ class Node:
         self.tag, self.path, self.out, self.inside, self.order = tag, path, out, inside, order
 
 
+class Container:
+    """A container: how much text it holds outside of links and in them, and how much of the first is in no smaller container."""
+
+    __slots__ = ("tag", "path", "out", "plain", "linked", "direct", "parent")
+
+    def __init__(self, tag: str, path: str, out: bool):
+        self.tag, self.path, self.out, self.plain, self.linked, self.direct, self.parent = tag, path, out, 0, 0, 0, None
+
+
 def left_out(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether the element is no part of an article; its classes, generalised."""
     out, classes = tag in LEFT_OUT, ""
@@ -143,30 +152,54 @@ def walk(page: str, text, opened, blocked) -> None:
 
 
 def best_path(page: str) -> tuple[str, float]:
-    """The path of the container with the highest score, and the score.
+    """The path of the article around the container with the highest score, and the score.
 
-    A container scores the text of the blocks right in it, and half of what is one level deeper; text in links counts against it.
+    A container scores the text of the blocks right in it, and half of what is one level deeper; text in links counts against it. From the best
+    one the path climbs to the outermost article, or where there is none through main and such containers whose other text is not mainly in links;
+    outside main it must also be mainly right in the container and at most half of what is held so far, so that boxes beside a body stay out.
     """
     scores: dict[int, float] = {}
-    paths: dict[int, str] = {}
+    found: dict[int, Container] = {}
+
+    def opened(node: Node) -> None:
+        if node.tag in CONTAINERS:
+            found[node.order] = Container(node.tag, node.path, node.out)
 
     def text(stack: list[Node], piece: str) -> None:
         if stack[-1].out or not (n := len(piece.strip())):
             return
-        if any(x.tag == "a" for x in stack):
-            n = -n
-        weight = 1.0
+        linked = any(x.tag == "a" for x in stack)
+        weight, inner = 1.0, None
         for node in reversed(stack):
-            if node.tag in CONTAINERS:
-                scores[node.order] = scores.get(node.order, 0.0) + weight * n
-                paths[node.order] = node.path
-                weight /= 2
-                if weight < 0.5:
-                    break
-
-    walk(page, text, lambda node: None, lambda: None)
+            if node.tag in CONTAINERS and node.order in found:
+                here = found[node.order]
+                here.plain, here.linked = here.plain + n * (not linked), here.linked + n * linked
+                if inner is None:
+                    here.direct += n * (not linked)
+                else:
+                    inner.parent = here
+                inner = here
+                if weight >= 0.5:
+                    scores[node.order] = scores.get(node.order, 0.0) + weight * (-n if linked else n)
+                    weight /= 2
+
+    walk(page, text, opened, lambda: None)
     k = min(scores, key=lambda i: (-scores[i], i), default=None)
-    return ("", 0.0) if k is None or scores[k] <= 0 else (paths[k], scores[k])
+    if k is None or scores[k] <= 0:
+        return "", 0.0
+    best = at = found[k]
+    while (at := at.parent) is not None:
+        if not at.out and (at.tag == "article" or best.tag not in ("article", "main") and grown(best, at)):
+            best = at
+    return best.path, scores[k]
+
+
+def grown(inner: Container, outer: Container) -> bool:
+    """Whether outer, which is no article, holds more of the article than inner: text beside it that is not mainly links."""
+    rest = outer.plain - inner.plain
+    if 4 * (outer.linked - inner.linked) > rest:
+        return False
+    return outer.tag == "main" or 2 * rest <= inner.plain and 2 * outer.direct >= rest
 
 
 def main_text(page: str, path: str) -> str | None:

@@ -186,6 +186,22 @@ def test_main_text(html, text):
     assert (he.main_text(html, he.best_path(html)[0]) or "") == text
 
 
+BODY = "long text " * 40
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><h1>title</h1><p>lead</p><div class='body'><p>{BODY}</p></div></article>", f"title\nlead\n{BODY.strip()}"),
+        (f"<body><div class=x><a href=1>home</a> <a href=2>more</a></div><article><h1>t</h1><section><div class=a><div class=b><p>{BODY}</div></div></section><section class=s><p>second</section></article></body>", f"t\n{BODY.strip()}\nsecond"),
+        (f"<main><h1>t</h1><div class=body><p>{BODY}<blockquote><p>quoted</blockquote></div><div class=after><p>end</div></main>", f"t\n{BODY.strip()}\nquoted\nend"),
+        (f"<body><div class=page><h1>t</h1><div class=body><p>{BODY}</div></div><div class=list><a>{'link ' * 30}</a></div></body>", f"t\n{BODY.strip()}"),
+    ],
+)
+def test_text_around_the_best_container(html, text):
+    assert he.main_text(html, he.best_path(html)[0]) == text
+
+
 def test_hosts_vote(spark):
     page = lambda side: f"<body><div class='c1'><p>{'main words ' * 9}</p></div><div class='s'><p>{side}</p></div></body>"
     rows = [(i, "http://h.x/1", page("small"), "z") for i in range(5)] + [(9, "http://H.x/2", page("a very large box " * 30), "z")]
