@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from larder.llm import near_dedup as nd
-from larder.llm.textnum import SHINGLE, aligned, labelled, shingles, word_hashes
+from larder.llm.textnum import SHINGLE, labelled, matched, shingles, word_hashes
 
 
 def words(rng, n):
@@ -15,9 +15,12 @@ def sha(text):
     return hashlib.sha256(text.encode()).digest()
 
 
-def jaccard(a, b):
-    sa, sb = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
-    return len(sa & sb) / len(sa | sb)
+def lcs(a, b, band=10**9):
+    got = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            got[i + 1, j + 1] = max(got[i, j + 1], got[i + 1, j], got[i, j] + 1 if a[i] == b[j] and abs(i - j) <= band else 0)
+    return int(got[-1, -1])
 
 
 def edited(rng, ws, n):
@@ -31,7 +34,7 @@ def brute(texts):
     label = list(range(len(texts)))
     for i, a in enumerate(texts):
         for j in range(i):
-            if a == texts[j] or a.split() and texts[j].split() and jaccard(a, texts[j]) >= 0.8:
+            if a.split() == texts[j].split() and (a.split() or a == texts[j]) or a.split() and texts[j].split() and nd.similar(a, texts[j]):
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
     return label
@@ -68,18 +71,28 @@ def test_kept_rows(spark):
 
 def test_alignment_is_a_longest_common_subsequence_in_the_band():
     rng = np.random.default_rng(3)
-    for _ in range(300):
-        a, b = (rng.integers(0, 4, rng.integers(0, 14)) for _ in range(2))
-        lcs = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                lcs[i + 1, j + 1] = lcs[i, j] + 1 if a[i] == b[j] else max(lcs[i, j + 1], lcs[i + 1, j])
-        d = len(a) + len(b) - 2 * lcs[-1, -1]
-        band = int(rng.integers(0, 20))
-        runs = aligned(a, b, band)
-        assert (runs is None) == (d > band)
-        if runs is not None:
-            assert sum(n for _, _, n in runs) == lcs[-1, -1] and all((a[i : i + n] == b[j : j + n]).all() for i, j, n in runs)
+    for _ in range(400):
+        kinds = int(rng.integers(1, 6))
+        a, b = (rng.integers(0, kinds, rng.integers(0, 16)) for _ in range(2))
+        full, band = lcs(a, b), int(rng.integers(0, 20))
+        got = matched(a, b, band)
+        assert lcs(a, b, band) <= got <= full  # ends that agree are matched before the band is laid
+        if len(a) + len(b) - 2 * full <= band:
+            assert got == full
+    a = rng.integers(0, 3, 700)  # words that come more often than are kept as lists
+    b = np.delete(a, rng.integers(0, 700, 40))
+    assert matched(a, b, 80) == len(b) == matched(b, a, 80)
+
+
+def test_links_are_those_of_word_alignments():
+    rng = random.Random(2)
+    for n, edits in ((60, 2), (100, 3), (100, 5), (300, 12), (80, 12)):
+        a = words(rng, n)
+        b = edited(rng, a, edits)
+        m = lcs(a, b)
+        assert nd.similar(" ".join(a), " ".join(b)) == (m >= 0.8 * (len(a) + len(b) - m))
+    base = words(rng, 60) * 16  # the distinct windows of such texts differ much
+    assert nd.similar(" ".join(base), " ".join(base + words(rng, 60)))
 
 
 def test_moved_passages_and_repeats():
@@ -122,7 +135,7 @@ def test_a_member_that_joined_its_leader_still_meets_the_others(spark, monkeypat
     assert {r._id: r._class for r in nd.near_classes(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
-def test_candidates_hold_every_similar_pair(spark):
+def test_candidates_hold_every_pair_with_similar_windows(spark):
     rng = random.Random(9)
     texts = []
     for _ in range(10):
@@ -130,6 +143,39 @@ def test_candidates_hold_every_similar_pair(spark):
         texts += [" ".join(edited(rng, base, k)) for k in range(6)]
     texts += [" ".join(rng.choice("ab") for _ in range(rng.randrange(1, 30))) for _ in range(30)]
     texts = sorted(set(texts))
-    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "num long, label long, text string")
-    got = {(r.i, r.j) for r in nd.candidates(df, 0.8).collect()}
-    assert {(i, j) for j in range(len(texts)) for i in range(j) if nd.similar(texts[i], texts[j])} <= got
+    df = spark.createDataFrame([(bytes([i]), bytes([i]), 1, t) for i, t in enumerate(texts)], "node binary, label binary, held long, text string")
+    got = {(r.a[0], r.b[0]) for r in nd.candidates(df, 0.8).collect()}
+
+    def windows_alike(a, b):
+        sa, sb = (labelled(shingles(word_hashes(x))) for x in (a, b))
+        met = len(np.intersect1d(sa, sb))
+        return met >= 0.8 * (len(sa) + len(sb) - met)
+
+    assert {(i, j) for j in range(len(texts)) for i in range(j) if windows_alike(texts[i], texts[j])} <= got
+
+
+def test_a_large_crowd_with_edited_copies(spark):
+    rng = random.Random(12)
+    template = words(rng, 150)
+    own = [words(rng, 60) for _ in range(500)]  # 0.55 to each other
+    texts = [" ".join(template + w) for w in own]
+    planted = {}
+    for k in range(0, 100, 2):
+        planted[len(texts)] = k
+        texts.append(" ".join(edited(rng, template + own[k], 16)))  # 0.86 or more
+    repeating = words(rng, 60) * 16
+    planted[len(texts) + 1] = len(texts)
+    texts += [" ".join(repeating), " ".join(repeating + words(rng, 60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r._id: r._class for r in nd.near_classes(df).collect()}
+    assert sum(got[i] == got[j] for i, j in planted.items()) >= 0.99 * len(planted)
+    assert len(set(got.values())) == len(texts) - len(planted)
+
+
+def test_very_long_texts_and_odd_columns(spark):
+    rng = random.Random(13)
+    long = [rng.choice("abcdefgh") + str(rng.randrange(3000)) for _ in range(120_000)]
+    rows = [(1, " ".join(long), 1), (2, " ".join(edited(rng, long, 900)), 2), (3, "w" * 500_000, 3), (4, " ".join(long[:60_000]), 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label long")
+    assert {r._id: r._class for r in nd.near_classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert sorted((r.doc_id, r.label) for r in nd.deduplicated(df).collect()) == [(1, 1), (3, 3), (4, 4)]
