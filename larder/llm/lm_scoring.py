@@ -1,19 +1,22 @@
 """Scores of texts under a word-count model and under a small causal self-attention model over subword ids, trained in numpy.
 
-Base model. Words are counted over all training texts. Words with a share of 1/FREQUENT or more of all tokens are at most FREQUENT, so their
-counts are broadcast; the other words of a text meet their counts in a join by word, whose largest key has that share at most.
+Base model. Words are counted over all training texts in a first pass. Words with a share of 1/FREQUENT or more of all tokens are at most FREQUENT, so
+their counts are broadcast, and the second pass adds up what they give to each text; the other words of a text meet their counts in a join
+by word, whose largest key has that share at most.
 
 Attention model. A text is its words' subword ids and an end mark. From the ids before it, self-attention and one hidden layer give each
 position weights over K distributions of ids, and their mixture is the next id's probability; it sums to one over the vocabulary.
-SAMPLE windows of the training texts, chosen by hash over all of them, give a start by gradient descent on the driver. Then all windows of all
-training texts, each once, fit the attention's parameters: in each of ROUNDS rounds the tasks descend over their texts of that round from common
-parameters, and the driver adds their moves, weighted by what each has seen; sums of a fixed size come back. At last one
+SAMPLE windows of the training texts, chosen by hash over all of them, only give a start by gradient descent on the driver. Then all windows of all
+training texts, each once, fit the attention's parameters: texts are dealt by a hash into shards of about SHARD ids and these into ROUNDS rounds; in a
+round each shard is descended over, in the order of its texts' hashes, from common parameters, and the driver adds the moves, weighted by what each has
+seen. Moves are added as whole numbers of a fixed unit, so the model doesn't depend on how rows are split over tasks. At last one
 expectation-maximisation pass over every training text estimates the K distributions anew: executors add up how much each component explains of
 each id, and only these sums, of a fixed size, come back. Scoring cuts texts into windows of WINDOW ids of which the last STRIDE
 are scored, each id once, with what precedes in the window as context; windows of many texts go through masked attention in one batch.
 
 Defined cases: a null or empty text is its end mark alone; without training texts counts are zero and the attention model is uniform;
-rows with the same or null ids are scored one by one (a null id counts as empty text for the split).
+rows with the same or null ids are scored one by one (a null id counts as empty text for the split);
+columns other than the id and the text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,18 +30,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, stored, table
 
-FREQUENT = 20_000
+FREQUENT = 400_000
 WINDOW, STRIDE = 32, 24
 SIZE, HIDDEN, MIXED = 16, 16, 16
 SAMPLE, STEPS, BATCH, PER_TEXT = 8192, 240, 192, 4
-ROUNDS, RATE = 4, 0.004
+ROUNDS, RATE, SHARD, UNIT = 4, 0.004, 1 << 20, float(1 << 16)
 SMOOTH = 50.0
-CACHED, SLICE, TOGETHER = 400_000, 256, 256
+CACHED, SLICE, TOGETHER = 200_000, 256, 256
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -78,8 +82,32 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def read(text: Column, path: str) -> Column:
-    """A struct of n_words, the distinct words with their counts, and the subword ids."""
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_lower).split()
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word and c, how often it comes in the column text of texts."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], ["word", "c"])
+
+        for part in parts:
+            for t in part.column(0).to_pylist():
+                tally.update(split(t))
+                if len(tally) > CACHED:
+                    yield told()
+                    tally.clear()
+        yield told()
+
+    return stored(texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
+
+
+def read(text: Column, path: str, often: Broadcast) -> Column:
+    """A struct of n_words, the subword ids, the frequent words' sum of log10(c + 1) and number, and the other distinct words with their counts."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -88,19 +116,29 @@ def read(text: Column, path: str) -> Column:
             yield pa.concat_arrays(parts)
 
     def part(batch: pa.Array) -> pa.Array:
-        vocabulary = words_of(path)
-        n, ids, words, counts = [], [], [], []
+        vocabulary, known = words_of(path), often.value
+        n, ids, logs, seen, words, counts = [], [], [], [], [], []
         for t in batch.cast(pa.string()).to_pylist():
-            ws = (t or "").encode().translate(_lower).split()
+            ws = split(t)
             tally = Counter(ws)
             n.append(len(ws))
             ids.append(vocabulary.ids(ws, tally))
-            words.append(list(tally))
-            counts.append(list(tally.values()))
-        arrays = [pa.array(n, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32())), pa.array(ids, pa.binary())]
-        return pa.StructArray.from_arrays(arrays, ["n_words", "words", "counts", "ids"])
-
-    return F.arrow_udf(run, "n_words long, words array<binary>, counts array<int>, ids binary")(text)
+            total, number, rare, times = 0.0, 0, [], []
+            for w, k in tally.items():
+                if (x := known.get(w)) is None:
+                    rare.append(w)
+                    times.append(k)
+                else:
+                    total += k * x
+                    number += k
+            logs.append(total)
+            seen.append(number)
+            words.append(rare)
+            counts.append(times)
+        arrays = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(logs), pa.array(seen, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))]
+        return pa.StructArray.from_arrays(arrays, ["n_words", "ids", "logs", "known", "words", "counts"])
+
+    return F.arrow_udf(run, "n_words long, ids binary, logs double, known long, words array<binary>, counts array<int>")(text)
 
 
 # -- the attention model
@@ -130,6 +168,17 @@ def windows(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray,
     return np.where(inside, x, -1), y, text
 
 
+Rows = tuple[np.ndarray, np.ndarray]
+
+
+def by_row(ids: np.ndarray, values: np.ndarray) -> Rows:
+    """The distinct ids and the sums of their values."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    return ids[first], np.add.reduceat(values[order], first, axis=0)
+
+
 class Attention:
     """Parameters by name. Ids run from 0 to the end mark; the start mark after it is an input only."""
 
@@ -146,8 +195,11 @@ class Attention:
         lag = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
         self.lag, self.future = np.maximum(lag, 0), lag < 0
 
-    def loss(self, x: np.ndarray, y: np.ndarray, dist: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss in nats over the places with a target, and the gradients. With fixed distributions (components by ids) z is what they explain of each id."""
+    def loss(self, x: np.ndarray, y: np.ndarray, dist: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], Rows, Rows]:
+        """Mean loss in nats over the places with a target, the gradients, that of emb by its rows, and what components explain of ids by ids.
+
+        With fixed distributions (components by ids) there is no gradient of z.
+        """
         p, scale = self.p, np.float32(SIZE**-0.5)
         has, xs, ys = (y >= 0).astype(np.float32)[..., None], np.where(x < 0, self.end + 1, x), np.maximum(y, 0)
         n = max(float(has.sum()), 1.0)
@@ -167,23 +219,37 @@ class Attention:
         total = joint.sum(-1, keepdims=True) + 1e-30
         resp = joint / total * has
         out = -float((np.log(total) * has).sum()) / n
+        flat = lambda m: m.reshape(-1, m.shape[-1])
         g: dict[str, np.ndarray] = {}
         dg = (pi * has - resp) / n
-        hit = np.stack([np.bincount(ys.ravel(), resp[..., c].ravel(), self.end + 1) for c in range(MIXED)]).astype(np.float32)
-        g["z"] = hit if fixed else (hit.sum(1, keepdims=True) * dist - hit) / np.float32(n)
-        g["u"], g["b"] = np.einsum("blh,blk->hk", h, dg), dg.sum((0, 1))
+        hit = by_row(ys.ravel(), flat(resp))
+        if not fixed:
+            z = np.zeros((MIXED, self.end + 1), np.float32)
+            z[:, hit[0]] = hit[1].T
+            g["z"] = (z.sum(1, keepdims=True) * dist - z) / np.float32(n)
+        g["u"], g["b"] = flat(h).T @ flat(dg), dg.sum((0, 1))
         dt = (dg @ p["u"].T) * (1 - np.abs(h)) ** 2
-        g["o"], g["r"], g["bh"] = np.einsum("blh,blk->hk", o, dt), np.einsum("blh,blk->hk", e, dt), dt.sum((0, 1))
+        g["o"], g["r"], g["bh"] = flat(o).T @ flat(dt), flat(e).T @ flat(dt), dt.sum((0, 1))
         do, de = dt @ p["o"].T, dt @ p["r"].T
         da, dv = do @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ do
         ds = a * (da - (da * a).sum(-1, keepdims=True))
         g["rel"] = np.bincount(self.lag.ravel(), np.where(self.future, 0, ds.sum(0)).ravel(), WINDOW).astype(np.float32)
         dq, dk = ds @ k * scale, ds.swapaxes(1, 2) @ q * scale
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = np.einsum("blh,blk->hk", e, d)
+            g[name] = flat(e).T @ flat(d)
             de = de + d @ p[name].T
-        g["emb"] = np.stack([np.bincount(xs.ravel(), de[..., c].ravel(), self.end + 2) for c in range(SIZE)], 1).astype(np.float32)
-        return out, g
+        return out, g, by_row(xs.ravel(), flat(de)), hit
+
+    def step(self, state: dict, t: int, g: dict[str, np.ndarray], emb: Rows, rate: float) -> None:
+        """One step of Adam; of emb only the rows that a batch has."""
+        fix = rate / (1 - 0.9**t), 1 - 0.99**t
+        for k, d, rows in [*((k, d, slice(None)) for k, d in g.items()), ("emb", emb[1], emb[0])]:
+            a, b = state[k]
+            x, y = a[rows], b[rows]
+            x = x + np.float32(0.1) * (d - x)
+            y = y + np.float32(0.01) * (d * d - y)
+            a[rows], b[rows] = x, y
+            self.p[k][rows] -= (fix[0] * x / (np.sqrt(y / fix[1]) + 1e-8)).astype(np.float32)
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = 0.02) -> None:
         if not len(x) or not (y >= 0).any():
@@ -191,16 +257,11 @@ class Attention:
         rng = np.random.default_rng(5)
         share = np.bincount(y[y >= 0], minlength=self.end + 1) + 0.1
         self.p["z"] += np.log(share / share.sum()).astype(np.float32)
-        m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         for t in range(1, steps + 1):
             rows = rng.integers(0, len(x), min(BATCH, len(x)))
-            _, g = self.loss(x[rows], y[rows])
-            now = rate * min(1.0, 2 * (1 - t / (steps + 1)))
-            for k, d in g.items():
-                a, b = m[k]
-                a += 0.1 * (d - a)
-                b += 0.01 * (d * d - b)
-                self.p[k] -= (now * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            _, g, emb, _ = self.loss(x[rows], y[rows])
+            self.step(state, t, g, emb, rate * min(1.0, 2 * (1 - t / (steps + 1))))
 
     def tables(self) -> Tables:
         dist = softmax(self.p["z"].astype(np.float64)).T if self.dist is None else self.dist
@@ -332,7 +393,7 @@ def started(texts: DataFrame, end: int) -> Attention:
     model = Attention(end)
     # every text has a window or more, so this share of all hashes holds SAMPLE windows with room to spare, and tasks send a bounded number
     share = min(1.0, 1.5 * SAMPLE / max(1, texts.count()))
-    drawn = texts.select(F.explode(sampled(F.col("ids"), F.xxhash64("rid"))).alias("s")).select("s.*").where(F.col("h") < int(share * (1 << 62)))
+    drawn = texts.select(F.explode(sampled(F.col("ids"), F.col("key"))).alias("s")).select("s.*").where(F.col("h") < int(share * (1 << 62)))
     rows = drawn.orderBy("h", "w").limit(SAMPLE).collect()
     x, y = np.full((len(rows), WINDOW), -1, np.int64), np.full((len(rows), WINDOW), -1, np.int64)
     for i, r in enumerate(rows):
@@ -385,11 +446,14 @@ def explained(texts: DataFrame, model: Tables) -> np.ndarray:
     return out
 
 
-def descended(texts: DataFrame, model: Attention, rate: float) -> np.ndarray:
-    """Moves the model's parameters but z by a pass over all windows of texts; ids by components as in explained()."""
+def descended(shards: DataFrame, model: Attention, rate: float) -> np.ndarray:
+    """Moves the model's parameters but z by a pass over all windows of shards (shard, key, ids); ids by components as in explained().
+
+    A shard's result depends on its rows only, and results are added as whole numbers, so it doesn't matter which tasks have them.
+    """
     small = [k for k in model.p if k not in ("emb", "z")]
     dist = np.ascontiguousarray((softmax(model.p["z"].astype(np.float64)) if model.dist is None else model.dist.T), np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast((model, dist))
+    shared = shards.sparkSession.sparkContext.broadcast((model, dist))
     names = [f"c{c}" for c in range(SIZE)]
     flat = lambda p: np.concatenate([p[k].ravel() for k in small]).reshape(-1, SIZE)
     top = model.end + 2
@@ -397,34 +461,47 @@ def descended(texts: DataFrame, model: Attention, rate: float) -> np.ndarray:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, dist = shared.value
-        m = Attention(first.end)
-        m.p = {k: v.copy() for k, v in first.p.items()}
-        hits, met, seen, t = np.zeros((MIXED, m.end + 1)), np.zeros(top), 0, 0
-        state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items() if k != "z"}
-        for part in parts:
-            for _, x, y, _ in batches(part.column(0).to_pylist(), m.end):
+        moved, weight, hits = np.zeros((top + rows, SIZE), np.int64), np.zeros(top + rows, np.int64), np.zeros((first.end + 1, MIXED), np.int64)
+
+        def add(ids: list[bytes]) -> None:
+            m = Attention(first.end)
+            m.p = {k: v.copy() for k, v in first.p.items()}
+            state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items() if k != "z"}
+            told, met, seen, t = np.zeros((m.end + 1, MIXED)), np.zeros(top, np.int64), 0, 0
+            for _, x, y, _ in batches(ids, m.end):
                 y = y.copy()
                 y[:, : WINDOW - STRIDE] = -1  # these are targets of the window before
-                _, g = m.loss(x, y, dist)
-                hits += g.pop("z")
+                _, g, emb, hit = m.loss(x, y, dist)
+                told[hit[0]] += hit[1]
                 met += np.bincount(x[x >= 0], minlength=top)
                 seen, t = seen + int((y >= 0).sum()), t + 1
-                for k, (a, b) in state.items():
-                    a += 0.1 * (g[k] - a)
-                    b += 0.01 * (g[k] * g[k] - b)
-                    m.p[k] -= (rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-        if not seen:
-            return
-        used, told = np.flatnonzero(met), np.flatnonzero(hits.sum(0))
-        ids = np.concatenate([used, np.arange(top, top + rows), top + rows + told])
-        weight = np.concatenate([met[used], np.full(rows, float(seen)), np.zeros(len(told))])
-        move = np.concatenate([(m.p["emb"] - first.p["emb"])[used], flat(m.p) - flat(first.p)]) * weight[: len(used) + rows, None]
-        values = np.concatenate([move, hits[:, told].T])
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(weight), *[pa.array(np.ascontiguousarray(values[:, c])) for c in range(SIZE)]], ["id", "w", *names])
+                m.step(state, t, g, emb, rate)
+            w = np.append(met, np.full(rows, seen))
+            move = np.concatenate([m.p["emb"] - first.p["emb"], flat(m.p) - flat(first.p)]).astype(np.float64)
+            moved[:] += np.rint(move * w[:, None] * UNIT).astype(np.int64)
+            weight[:] += w
+            hits[:] += np.rint(told * UNIT).astype(np.int64)
+
+        now, ids, n = None, [], 0
+        for part in parts:
+            for shard, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if ids and (shard != now or n > 4 * SHARD):  # so many rows with one hash are cut where others end
+                    add(ids)
+                    ids, n = [], 0
+                now = shard
+                ids.append(b)
+                n += len(b) // 2 + 1
+        if ids:
+            add(ids)
+        used, told = np.flatnonzero(weight), np.flatnonzero(hits.any(1))
+        at, w = np.concatenate([used, top + rows + told]), np.concatenate([weight[used], np.zeros(len(told), np.int64)])
+        values = np.concatenate([moved[used], hits[told]])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w), *[pa.array(np.ascontiguousarray(values[:, c])) for c in range(SIZE)]], ["id", "w", *names])
 
     sums = [F.sum(n).alias(n) for n in ("w", *names)]
-    got = texts.select("ids").mapInArrow(run, "id int, w double, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*sums).toPandas()
-    ids, w, v = got["id"].to_numpy(), got["w"].to_numpy(), got[names].to_numpy()
+    dealt = shards.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "ids")
+    got = dealt.mapInArrow(run, "id int, w long, " + ", ".join(f"{n} long" for n in names)).groupBy("id").agg(*sums).toPandas()
+    ids, w, v = got["id"].to_numpy(), got["w"].to_numpy(), got[names].to_numpy() / UNIT
     told, hits = ids >= top + rows, np.zeros((model.end + 1, MIXED))
     hits[ids[told] - top - rows] = v[told]
     move = np.zeros((top + rows, SIZE), np.float32)
@@ -444,55 +521,55 @@ def smoothed(n: np.ndarray) -> np.ndarray:
 
 
 def trained(texts: DataFrame, end: int) -> Attention:
-    """texts: rid and ids of the training texts."""
+    """texts: key (a hash of the id and the text), n_ids and ids of the training texts."""
     model = started(texts, end)
+    total = texts.agg(F.sum("n_ids")).first()[0] or 0
+    shards = ROUNDS * max(1, -(-total // (ROUNDS * SHARD)))
+    dealt = texts.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key", "ids")
     n = np.zeros((end + 1, MIXED))
-    for k in range(ROUNDS):
-        n += descended(texts.where(F.pmod(F.xxhash64("rid"), F.lit(ROUNDS)) == k), model, RATE * (1 - k / ROUNDS))
+    for k in range(ROUNDS if total else 0):
+        n += descended(dealt.where(F.col("shard") % ROUNDS == k), model, RATE * (1 - k / ROUNDS))
         model.dist = smoothed(n)
     model.dist = smoothed(explained(texts, model.tables()))
     return model
 
 
-def base_scores(texts: DataFrame) -> DataFrame:
-    """rid, known and base (the sum of log10(c + 1) less the constant part) for stored texts (rid, held_out, n_words, words, counts), and N, V."""
-    pairs = texts.select("rid", "held_out", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("rid", "held_out", "p.words", "p.counts")
-    counts = stored(pairs.where("NOT held_out").groupBy(F.col("words").alias("word")).agg(F.sum("counts").alias("c")), "word-counts")
-    total, kinds = counts.agg(F.sum("c"), F.count("*")).first()
-    ends = texts.where("NOT held_out").count()
-    n, v = (total or 0) + ends, kinds + (ends > 0)
-    # at most FREQUENT rows, for their counts add up to n at most, of bounded length
-    is_often = (F.col("c") * FREQUENT >= n) & (F.octet_length("word") <= 256)
-    often, rest = counts.where(is_often), counts.where(~is_often)
-    tagged = pairs.join(F.broadcast(often.withColumnsRenamed({"word": "words", "c": "often"})), "words", "left")
-    sums = lambda c: [F.sum(F.col("counts") * F.log10(c + 1.0)).alias("logs"), F.sum(F.when(c > 0, F.col("counts")).otherwise(0)).alias("known")]
-    common = tagged.where("often IS NOT NULL").groupBy("rid").agg(*sums(F.col("often")))
-    rare = tagged.where("often IS NULL").select("rid", "words", "counts").join(rest.withColumnRenamed("word", "words").hint("shuffle_hash"), "words", "left")
-    rare = rare.groupBy("rid").agg(*sums(F.coalesce("c", F.lit(0))))
-    by_text = common.unionByName(rare).groupBy("rid").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
-    out = texts.select("rid", "n_words").join(by_text, "rid", "left")
-    z = float(np.log10(n + v + 1))
-    end_log, end_known = float(np.log10(ends + 1.0)), int(ends > 0)
-    return out.select(
-        "rid", (F.coalesce("known", F.lit(0)) + end_known).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.coalesce("logs", F.lit(0.0)) + end_log - (F.col("n_words") + 1) * z).alias("base_score"),
+def base_scores(texts: DataFrame, counts: DataFrame, n: int, v: int, ends: int) -> DataFrame:
+    """rid, n_known, train_tokens and base_score of stored texts (rid, n_words, logs, known, words, counts); counts (word, c) of the words that texts list."""
+    pairs = texts.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("rid", F.col("p.words").alias("word"), F.col("p.counts").alias("k"))
+    rare = pairs.join(counts, "word")  # words without a count add log10(1) = 0
+    rare = rare.groupBy("rid").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("met"))
+    z, end_log = float(np.log10(n + v + 1)), float(np.log10(ends + 1.0))
+    return texts.select("rid", "n_words", "logs", "known").join(rare, "rid", "left").select(
+        "rid", (F.col("known") + F.coalesce("met", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") + F.coalesce("more", F.lit(0.0)) + end_log - (F.col("n_words") + 1) * z).alias("base_score"),
     )
 
 
 def scored(docs: DataFrame, path: str) -> DataFrame:
     """docs: _id, text and held_out; the columns of op2."""
-    rows = docs.select(F.col("_id"), "held_out", read(F.coalesce(F.col("text"), F.lit("")), path).alias("r")).select("_id", "held_out", "r.*")
+    spark = docs.sparkSession
+    learned = docs.where("NOT held_out")
+    counts, ends = word_counts(learned), learned.count()
+    total, kinds = counts.agg(F.sum("c"), F.count("*")).first()
+    n, v = (total or 0) + ends, kinds + (ends > 0)
+    # at most FREQUENT rows, for their counts add up to n at most, of bounded length
+    is_often = (F.col("c") * FREQUENT >= n) & (F.octet_length("word") <= 64)
+    often = counts.where(is_often).toArrow()
+    often = dict(zip(often["word"].to_pylist(), np.log10(often["c"].to_numpy() + 1.0).tolist(), strict=True))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("_id", "held_out", F.xxhash64("_id", text).alias("key"), read(text, path, spark.sparkContext.broadcast(often)).alias("r")).select("_id", "held_out", "key", "r.*")
+    rows = rows.withColumn("n_ids", (F.octet_length("ids") / 2 + 1).cast("long"))
     texts = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    end = encoder(path).n_vocab
-    model = trained(texts.where("NOT held_out").select("rid", "ids"), end)
-    shared = docs.sparkSession.sparkContext.broadcast(model.tables())
+    model = trained(texts.where("NOT held_out").select("key", "n_ids", "ids"), encoder(path).n_vocab)
+    shared = spark.sparkContext.broadcast(model.tables())
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series(log_probabilities(shared.value, part.tolist()))
 
     score = stored(texts.select("rid", "_id", "held_out", "n_words", F.pandas_udf(run, "double")(F.col("ids")).alias("score")), "scores")
-    base = base_scores(texts)
+    base = base_scores(texts, counts.where(~is_often), n, v, ends)
     out = score.join(base, "rid")
     return out.select(F.col("_id").alias("doc_id"), "held_out", (F.col("n_words") + 1).cast("long").alias("n_tokens"), "n_known", "train_tokens", "base_score", "score")
 

@@ -87,7 +87,9 @@ def test_gradients():
     rng = np.random.default_rng(0)
     x, y = rng.integers(0, 41, (3, lm.WINDOW)), rng.integers(0, 41, (3, lm.WINDOW))
     x[0, :5] = y[0, :5] = x[1, 20:] = y[1, 20:] = -1
-    _, g = m.loss(x, y)
+    _, g, emb, _ = m.loss(x, y)
+    g["emb"] = np.zeros_like(m.p["emb"])
+    g["emb"][emb[0]] = emb[1]
     for k, v in m.p.items():
         i = (int(x[2, 3]), 1) if k == "emb" else tuple(int(rng.integers(0, s)) for s in v.shape)
         v[i] += 1e-5
@@ -101,7 +103,7 @@ def test_gradients():
 def test_every_training_id_moves_its_embedding(spark):
     end, rng = 300, np.random.default_rng(4)
     long = np.concatenate([rng.permutation(end) for _ in range(3)]).astype(np.uint16)
-    texts = spark.createDataFrame([(0, bytearray(long.tobytes())), (1, bytearray(long[:50].tobytes()))], "rid long, ids binary")
+    texts = spark.createDataFrame([(0, 901, bytearray(long.tobytes())), (1, 51, bytearray(long[:50].tobytes()))], "key long, n_ids long, ids binary")
     moved = (lm.trained(texts, end).p["emb"] != lm.Attention(end).p["emb"]).any(1)
     assert moved[:end].all()
 
@@ -114,3 +116,29 @@ def test_empty_and_odd_tables(spark):
     assert lm.scored(df.where("false"), path).count() == 0
     none = lm.scored(df.withColumn("held_out", df["_id"].isNull() | True), path).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in none)
+
+
+def test_scores_do_not_depend_on_how_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 5000)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120).selectExpr("doc_id AS _id", "text", "doc_id % 7 = 2 AS held_out").collect()
+    docs.append(docs[0])
+    got = []
+    for n, rows in ((1, docs), (7, docs[::-1]), (23, docs)):
+        df = spark.createDataFrame(rows, "_id long, text string, held_out boolean").repartition(n)
+        got.append(sorted((r.doc_id, r.score, r.base_score) for r in lm.scored(df, path).collect()))
+    for other in got[1:]:
+        for a, b in zip(got[0], other, strict=True):
+            assert a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-6) and math.isclose(a[2], b[2], rel_tol=1e-9)
+
+
+def test_the_model_beats_a_unigram_of_subwords_on_held_out_texts(spark):
+    sf, path = "/root/testdata/sf0.01", public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = lm.op2_lm_scoring(spark, sf).collect()
+    vocabulary = lm.Words(path)
+    ids = {d: np.append(np.frombuffer(vocabulary.ids(lm.split(t)), np.uint16), 50256).astype(int) for d, t in docs.items()}
+    counts = np.bincount(np.concatenate([ids[r.doc_id] for r in got if not r.held_out]), minlength=50257)
+    unigram = np.log10((counts + 0.5) / (counts + 0.5).sum())
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > 0.85 * sum(unigram[ids[r.doc_id]].sum() for r in held)
