@@ -4,12 +4,13 @@ A place in a text is *stable* if the tokens after it can't depend on what stands
 pieces never hold white space (the pattern is read from the file), these are: after ASCII white space, between two ASCII digits,
 and between a letter and a punctuation mark of fixed sets, away from the marks of special tokens.
 
-A huge text is cut into chunks that overlap. Neighbours are encoded with offsets and spliced at a stable place in the overlap
+A huge text (more than HUGE characters) is cut into chunks that overlap. Neighbours are encoded with offsets and spliced at a stable place in the overlap
 where both have a token's start; where there is none the overlap is doubled, and in the end the chunk itself, so that
 a text without any stable place is encoded in one piece. Texts of ordinary size are taken apart at all their white space, which is
-stable everywhere, and each distinct segment is encoded once for a worker.
+stable everywhere, and each distinct segment is encoded once for a worker; splicing them all costs five times as much (README).
 
-Defined cases: a null or empty text has no tokens; a special token's string inside a text counts as the library counts it.
+Defined cases: a null or empty text has no tokens; a special token's string inside a text counts as the library counts it; repeated rows are counted
+each, an empty table gives no rows; columns other than those asked for are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 LIMIT = 2048
-HUGE, CHUNK, OVERLAP = 65_536, 32_768, 512
+HUGE, CHUNK, OVERLAP = 16_384, 8_192, 256
 CACHED = 500_000
 SCHEMA = "n_bytes long, n_tokens long, over_limit boolean"
 
@@ -52,7 +53,7 @@ class Counter:
     """Counts for one tokenizer file; keeps the counts of segments that it has seen."""
 
     def __init__(self, path: str, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP):
-        self.huge, self.chunk, self.overlap, self.seen, self.widened = huge, chunk, overlap, {}, 0
+        self.huge, self.chunk, self.overlap, self.seen, self.widened, self.splices = huge, chunk, overlap, {}, 0, 0
         if path.endswith(".model"):
             import sentencepiece
 
@@ -98,6 +99,7 @@ class Counter:
                     self.widened += 1
                     overlap *= 2
             total += sum(x < found for x in left)
+            self.splices += 1
             a, end = found, min(n, end + self.chunk)
             left = [x for x in right if x >= found]
         return total + len(left)

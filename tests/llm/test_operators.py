@@ -275,6 +275,59 @@ def test_bins_hold_what_fits_and_are_downsized(spark):
     assert sum(small) / sum(sizes) > 0.99
 
 
+def slow_fill(lengths, order, sizes):
+    """Best fit from its definition."""
+    bins, where = [], [0] * len(lengths)
+    for i in order:
+        x = lengths[i]
+        fits = [(b[0] - b[1], k) for k, b in enumerate(bins) if b[0] - b[1] >= x]
+        if fits:
+            least = min(r for r, _ in fits)
+            k = max(k for r, k in fits if r == least and bins[k][2] == max(bins[j][2] for q, j in fits if q == least))
+        else:
+            coming = lambda c, x=x: sum(n for n in lengths if n <= min(c - x, x))
+            c = min((c for c in sizes if c >= x), key=lambda c: (pk.cost(c) / (x + min(c - x, coming(c))), c))
+            k = len(bins)
+            bins.append([c, 0, 0])
+        bins[k][1] += x
+        bins[k][2] = max(b[2] for b in bins) + 1  # of bins with equal room the one that got it last is taken
+        where[i] = k
+    return where, [b[1] for b in bins]
+
+
+def test_packing_is_best_fit_with_the_least_cost_set_of_sizes():
+    rng = random.Random(3)
+    for _ in range(60):
+        sizes = sorted(rng.sample(range(8, 60), 3))
+        lengths = [rng.randrange(1, sizes[-1] + 1) for _ in range(rng.randrange(1, 40))]
+        order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        for some in ([sizes[2]], sizes[1:], sizes[::2], sizes):
+            assert pk.filled(lengths, order, some) == slow_fill(lengths, order, some)
+        totals = []
+        for some in ([sizes[2]], [sizes[0], sizes[2]], sizes[1:], sizes):
+            totals.append(sum(pk.cost(next(c for c in sizes if c >= n)) for n in slow_fill(lengths, order, some)[1]))
+        assert abs(sum(map(pk.cost, pk.packed(lengths, sizes)[1])) - min(totals)) < 1e-6
+
+
+def test_several_capacities_are_opened(spark):
+    opened = {}
+    lengths = [min(2048, len((r.text or "").split()) + 1) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    where, content = pk.filled(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), pk.CAPACITIES)
+    for x, b in zip(lengths, where, strict=True):
+        opened.setdefault(b, x)
+    _, sizes = pk.packed(lengths)
+    assert len(set(sizes)) > 1 and sum(content) == sum(lengths)
+    one = sum(pk.cost(next(c for c in pk.CAPACITIES if c >= n)) for n in pk.filled(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), [2048])[1])
+    assert sum(map(pk.cost, sizes)) < 0.9 * one
+
+
+def test_repeated_rows_are_spread_over_shards_and_ids_may_be_text(spark):
+    df = spark.createDataFrame([("x", "a b c")] * 300 + [(None, None)] * 100 + [(str(i), "d " * i) for i in range(100)], "doc_id string, text string").repartition(3)
+    rows = pk.pack(df, shard=40).collect()
+    assert len(rows) == 500 and sum(r.length for r in rows if r.doc_id == "x") == 1200
+    assert len({r.bin >> 32 for r in rows if r.doc_id == "x"}) > 3
+
+
 def test_every_token_is_packed_once(spark):
     texts = [None, "", "a", "b " * 5000, "c " * 2047, "c " * 2048] + ["w " * (i % 700) for i in range(200)]
     df = spark.createDataFrame([(i % 150, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, bin string")

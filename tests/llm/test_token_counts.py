@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 import pytest
 
-from larder.llm.token_counts import Counter, token_counts
+from larder.llm.token_counts import HUGE, Counter, op1_token_counts, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PIECES = ["the", "Ünïted", "123456", "it's", "''s", "áb", "<|endoftext|>", "x<|startoftext|>y", "日本語。漢字", " ", "\x1c", "…", "###", "don't", "\n\n", "\t", "  ", "é", "́", "ΑΣ", "가나다", "🙂🙂", "--", "\x85"]
@@ -43,3 +43,23 @@ def test_nulls_and_extra_columns(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "one two")], "n_tokens int, text string")
     got = {r["n_tokens"]: r["t"] for r in df.select("n_tokens", token_counts(df["text"], PATH, 1).alias("t")).collect()}
     assert got[1][:2] == (0, 0) and got[2][:2] == (0, 0) and got[3] == (7, 2, True)
+
+
+def test_the_query_counts_as_the_library_does(spark, whole):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op1_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n = whole(texts[r.doc_id])
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
+
+
+def test_huge_texts_of_the_tables_are_spliced(spark, whole):
+    long = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(f"char_length(text) > {HUGE}").limit(20).collect()]
+    c = Counter(PATH)
+    assert c.count(long) == [whole(t) for t in long]
+    assert c.splices >= len(long)
+    rows = [(1, long[0]), (1, long[0]), (2, "x" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    assert sorted(r.t.n_tokens for r in df.select(token_counts(df["text"], PATH).alias("t")).collect()) == sorted(whole(t) for _, t in rows)
+    assert df.where("false").select(token_counts(df["text"], PATH)).count() == 0
