@@ -247,7 +247,7 @@ def conflict(spark, d):
     first, second = store.begin("b"), other.begin("b")
     first.put(b"k", b"first")
     second.put(b"k", b"second")
-    rows = [("first", code_of(lambda: store.commit(first))), ("second", code_of(lambda: other.commit(second))), ("clean", code_of(other.commit))]
+    rows = [("first", code_of(lambda: store.commit(first))), ("second", code_of(lambda: other.commit(second))), ("clean", code_of(other.commit)), ("fresh", code_of(Store.open(spark, store._core.path).commit))]
     rows.append(("kept_first", int(store.view("b", lambda t: t.get(b"k")) == b"first")))
     return spark.createDataFrame(rows, "step string, result long")
 
@@ -277,12 +277,35 @@ def clone_visibility(spark, d):
     return spark.createDataFrame([(s, code_of(lambda h=h: h.view("x", lambda t: t.get(b"k")))) for s, h in seen], "step string, code long")
 
 
+def scan_uncached(spark, d):
+    """The cursor that keeps nothing, read to its end."""
+    rows = loaded(spark, d).view("orders", lambda t: [(k.decode(), v.decode()) for k, v in t.items_uncached()])
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+def read_own_writes(spark, d):
+    """Gets in a transaction see its own puts and deletions, across sub-steps too; a failed sub-step leaves no trace."""
+    store, rows = new_store(spark), []
+    store.exec("b", lambda t: (t.put(b"a", b"1"), t.put(b"c", b"1")))
+
+    def steps(m):
+        m.exec("b", lambda t: (t.put(b"a", b"2"), t.delete(b"c")))
+        rows.append(("changed", int(m.exec("b", lambda t: t.get(b"a")))))
+        rows.append(("deleted", code_of(lambda: m.exec("b", lambda t: t.get(b"c")))))
+        rows.append(("failed_step", code_of(lambda: m.exec("b", lambda t: (t.put(b"a", b"3"), t.get(b"x"))))))
+        rows.append(("undone", int(m.exec("b", lambda t: t.get(b"a")))))
+
+    store.exec_multi(steps)
+    rows.append(("committed", int(store.view("b", lambda t: t.get(b"a")))))
+    return spark.createDataFrame(rows, "step string, result long")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         scan_bucket, scan_reopened, scan_key_order, scan_from_key, get_point, get_batch, put_overwrite, update_conditional, update_flags, delete_keys,
         txn_ordered_fold, txn_rollback, multi_commit, list_buckets, drop_bucket, large_values, compact_preserves, error_matrix, seq_history, conflict,
-        recovery_fallback, clone_visibility,
+        recovery_fallback, clone_visibility, scan_uncached, read_own_writes,
     )
 }
 
@@ -292,6 +315,8 @@ _ALL = f"SELECT key, value FROM ({_O})"
 SQL: dict[str, str] = {
     "scan_bucket": _ALL,
     "scan_reopened": _ALL,
+    "scan_uncached": _ALL,
+    "read_own_writes": "SELECT step, result::BIGINT AS result FROM (VALUES ('changed', 2), ('deleted', -1), ('failed_step', -1), ('undone', 2), ('committed', 2)) AS t(step, result)",
     "scan_key_order": f"SELECT key, row_number() OVER (ORDER BY key) AS pos FROM ({_O})",
     "scan_from_key": f"{_ALL} WHERE key >= '000000000500'",
     "get_point": f"{_ALL} WHERE key = '000000000042'",
@@ -312,7 +337,7 @@ SQL: dict[str, str] = {
         ('options_differ', -7)) AS t(step, code)""",
     "seq_history": """SELECT step, seq::BIGINT AS seq FROM (VALUES ('new', 2), ('touch', 3), ('touch_again', 3), ('put', 4), ('put_same', 5), ('update_absent', 5), ('multi', 6),
         ('failed', 6), ('drop', 7)) AS t(step, seq)""",
-    "conflict": "SELECT step, result::BIGINT AS result FROM (VALUES ('first', 0), ('second', -9), ('clean', 0), ('kept_first', 1)) AS t(step, result)",
+    "conflict": "SELECT step, result::BIGINT AS result FROM (VALUES ('first', 0), ('second', -9), ('clean', -9), ('fresh', 0), ('kept_first', 1)) AS t(step, result)",
     "recovery_fallback": "SELECT step, result::BIGINT AS result FROM (VALUES ('seq', 3), ('stable', 0), ('latest', -1), ('next_seq', 4), ('next', 0)) AS t(step, result)",
     "clone_visibility": "SELECT step, code::BIGINT AS code FROM (VALUES ('clone_to_first', 0), ('clone_to_opened', 0)) AS t(step, code)",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import TYPE_CHECKING, Any
+from typing import TYPE_CHECKING, Any, Self
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +16,30 @@ from .plans.overlay import overlay
 from .sources.manifest import Bucket, Manifest, Segment
 
 if TYPE_CHECKING:
-    from .store import Store
+    from .store import Core, Store
+
+
+#: So many keys, and bytes in them, are broadcast to find their rows.
+FEW_KEYS, FEW_BYTES = 200_000, 16_000_000
+
+
+class Pin:
+    """Keeps the files of a manifest from vacuum() while it is referenced."""
+
+    def __init__(self, manifest: Manifest):
+        self.manifest = manifest
 
 
 class Reader:
     """Reads of one bucket; every frame and cursor keeps the state it was made from."""
 
     def __init__(self, store: Store, name: str, bucket: Bucket):
-        self._store, self.name, self._bucket = store, name, bucket
+        self._store, self.name, self._bucket, self.pin = store, name, bucket, None
+
+    def pinned(self, core: Core, manifest: Manifest) -> Self:
+        self.pin = Pin(manifest)
+        core.pins.add(self.pin)
+        return self
 
     def _segments(self) -> tuple[Segment, ...]:
         return self._bucket.segments
@@ -34,7 +50,18 @@ class Reader:
     def frame(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         """key and value, from low to high, both inclusive."""
         core = self._store._core
-        return overlay(core.spark, core.files, self._segments(), low, high, self._newer())
+        out = overlay(core.spark, core.files, self._segments(), low, high, self._newer())
+        out._pin = self.pin  # vacuum() leaves its files as long as the frame is referenced
+        return out
+
+    def _rows_of(self, keys: DataFrame) -> DataFrame:
+        """The rows whose keys are among keys (key). Only their range is read; a few keys are broadcast, so that the bucket is not shuffled."""
+        some = keys.where("key IS NOT NULL").select("key").distinct()
+        n, size, low, high = some.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)), F.min("key"), F.max("key")).first()
+        if not n:
+            return self.frame().where("false")
+        rows = self.frame(bytes(low), bytes(high))
+        return rows.join(F.broadcast(some) if n <= FEW_KEYS and size <= FEW_BYTES else some, "key", "left_semi")
 
     def get(self, key: bytes) -> bytes:
         key = checked_key(key)
@@ -46,7 +73,7 @@ class Reader:
     def get_all(self, keys: DataFrame) -> DataFrame:
         """key, value and status (Ok or NotFound) of every row of keys."""
         probe = keys.select(F.col("key").cast("binary").alias("key"))
-        got = probe.join(self.frame(), "key", "left")
+        got = probe.join(self._rows_of(probe), "key", "left")
         return got.select("key", "value", F.when(F.col("value").isNull(), "NotFound").otherwise("Ok").alias("status"))
 
     def ordered(self, low: bytes | None = None) -> DataFrame:
@@ -89,8 +116,7 @@ class WriteTxn(Reader):
     def __init__(self, store: Store, name: str, bucket: Bucket):
         super().__init__(store, name, bucket)
         self._staged: list[Segment] = []
-        self._log: list[tuple[bytes, bytes | None]] = []  # since the last staged segment; None deletes
-        self._pending: dict[bytes, bytes | None] = {}
+        self._pending: dict[bytes, bytes | None] = {}  # since the last staged segment; None deletes
 
     # -- reads
 
@@ -119,33 +145,29 @@ class WriteTxn(Reader):
 
     # -- single operations
 
-    def _record(self, key: bytes, value: bytes | None) -> None:
-        self._log.append((key, value))
-        self._pending[key] = value
-
     def put(self, key: bytes, value: bytes) -> None:
         key = checked_key(key)
-        self._record(key, checked_value(value))
+        self._pending[key] = checked_value(value)
 
     def update(self, key: bytes, value: bytes) -> bool:
         key, value = checked_key(key), checked_value(value)
         if not self._has(key):
             return False
-        self._record(key, value)
+        self._pending[key] = value
         return True
 
     def delete(self, key: bytes) -> None:
         key = checked_key(key)
         if not self._has(key):
             raise not_found(f"key {key!r}")
-        self._record(key, None)
+        self._pending[key] = None
 
     # -- bulk operations
 
     def _flush(self) -> None:
         if self._pending:
             self._stage(self._pending_frame(), "delta")
-        self._log, self._pending = [], {}
+        self._pending = {}
 
     def _stage(self, rows: DataFrame, kind: str, checks: dict | None = None, refuse: Callable[[dict], StoreError | None] = lambda got: None) -> dict:
         core = self._store._core
@@ -187,9 +209,10 @@ class WriteTxn(Reader):
     def update_all(self, df: DataFrame) -> DataFrame:
         """Replaces the values of the keys that exist; returns key and updated of every key of df."""
         self._flush()
-        current = self.frame().select("key")
+        keys = df.select(F.col("key").cast("binary").alias("key"))
+        current = self._rows_of(keys).select("key")
         rows, checks, refuse = self._checked(df)
-        flags = df.select(F.col("key").cast("binary").alias("key")).join(current.withColumn("_is", F.lit(True)), "key", "left")
+        flags = keys.join(current.withColumn("_is", F.lit(True)), "key", "left")
         marked = rows.join(current.withColumn("_is", F.lit(True)), "key", "left")
         bad = marked.agg(*[c.alias(k) for k, c in checks.items()]).first().asDict()
         if error := refuse(bad):
@@ -201,7 +224,7 @@ class WriteTxn(Reader):
         """Deletes every key; NotFound, and nothing is deleted, if one is absent or comes twice."""
         self._flush()
         keys = df.select(F.col("key").cast("binary").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-        marked = keys.join(self.frame().select("key", F.lit(True).alias("_is")), "key", "left")
+        marked = keys.join(self._rows_of(keys).select("key", F.lit(True).alias("_is")), "key", "left")
         rows = marked.select("key", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("tomb"), "n", "_is")
         missing = F.max(F.when(F.col("_is").isNull() | (F.col("n") > 1), 1).otherwise(0))
         checks = {"_bad": F.min(key_error(F.col("key"))), "_missing": missing}
@@ -219,7 +242,7 @@ class WriteTxn(Reader):
         Returns the log with existed, effective and got.
         """
         self._flush()
-        steps = folded(log, self.frame())
+        steps = folded(log, self._rows_of(log.select(F.col("key").cast("binary").alias("key"))))
         first = steps.where("error IS NOT NULL").agg(F.min(F.struct("ord", "error")).alias("e")).first()["e"]
         if first is not None:
             raise StoreError(Kind(first["error"]), f"operation {first['ord']}")
@@ -236,7 +259,7 @@ class WriteTxn(Reader):
         for s in self._staged[mark[0] :]:
             self._store._core.discard(s.path)
         del self._staged[mark[0] :]
-        self._log, self._pending = [], {}
+        self._pending = {}
 
     def _finished(self) -> Bucket:
         """The bucket with the staged segments; the same object if nothing took effect."""
@@ -254,7 +277,7 @@ class MultiTxn:
     def exec(self, name: str, fn: Callable[[WriteTxn], Any]) -> Any:
         name = checked_name(name)
         fresh = name not in self._open
-        txn = self._open.get(name) or WriteTxn(self._store, name, self._store._bucket_or_new(self._manifest, name))
+        txn = self._open.get(name) or WriteTxn(self._store, name, self._store._bucket_or_new(self._manifest, name)).pinned(self._store._core, self._manifest)
         mark = txn._mark()
         try:
             out = fn(txn)
