@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from functools import reduce
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="larder-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -42,6 +45,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def tidy() -> None:
+    """Gives freed memory of a Python worker back: workers stay for later tasks, and what they held would count beside the JVM's."""
+    import ctypes
+    import ctypes.util
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(ctypes.util.find_library("c")) if sys.platform == "linux" else None
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def counted(df: DataFrame, label: str, what: Column | None = None) -> tuple[DataFrame, int]:
     """stored(), and the number of its rows (or of those for which `what` holds), counted by the job that writes them."""
     seen = Observation()

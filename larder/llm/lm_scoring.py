@@ -6,8 +6,8 @@ by word, whose largest key has that share at most.
 
 Attention model. A text is its words' subword ids and an end mark. From the ids before it, self-attention and one hidden layer give each
 position weights over K distributions of ids, and their mixture is the next id's probability; it sums to one over the vocabulary.
-SAMPLE windows of the training texts, chosen by hash over all of them, only give a start by gradient descent on the driver. Then all windows of all
-training texts, each once, fit the attention's parameters: texts are dealt by a hash into shards of about SHARD ids and these into ROUNDS rounds; in a
+SAMPLE windows of the training texts, chosen by hash over all of them, only give a start by gradient descent on the driver. Then all training texts, each of their ids once
+as a target in windows without overlap, fit the attention's parameters: texts are dealt by a hash into shards of about SHARD ids and these into ROUNDS rounds; in a
 round each shard is descended over, in the order of its texts' hashes, from common parameters, and the driver adds the moves, weighted by what each has
 seen. Moves are added as whole numbers of a fixed unit, so the model doesn't depend on how rows are split over tasks. At last one
 expectation-maximisation pass over every training text estimates the K distributions anew: executors add up how much each component explains of
@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, table
+from .common import crc_mod, stored, table, tidy
 
 FREQUENT = 400_000
 WINDOW, STRIDE = 32, 24
@@ -102,6 +102,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
                     yield told()
                     tally.clear()
         yield told()
+        tally.clear()
+        tidy()
 
     return stored(texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
@@ -114,6 +116,8 @@ def read(text: Column, path: str, often: Broadcast) -> Column:
             # a few texts at a time, for their words as Python objects take many times the room of the text
             parts = [part(batch.slice(at, SLICE)) for at in range(0, len(batch), SLICE)] or [part(batch)]
             yield pa.concat_arrays(parts)
+        words_of.cache_clear()
+        tidy()
 
     def part(batch: pa.Array) -> pa.Array:
         vocabulary, known = words_of(path), often.value
@@ -150,16 +154,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def windows(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, lengths: np.ndarray, end: int, step: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and the text of each window over the texts that are strung together in ids, each length including its end mark.
 
-    A window's first WINDOW - STRIDE places only give context; places outside the text have target -1.
+    A window's first WINDOW - step places only give context; places outside the text have target -1.
     """
-    n = -(-lengths // STRIDE)
+    n = -(-lengths // step)
     text = np.repeat(np.arange(len(lengths)), n)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     first = (np.cumsum(lengths) - lengths)[text]
-    place = (nth * STRIDE - (WINDOW - STRIDE))[:, None] + np.arange(WINDOW)
+    place = (nth * step - (WINDOW - step))[:, None] + np.arange(WINDOW)
     inside = (place >= 0) & (place < lengths[text][:, None])
     at = np.where(inside, first[:, None] + place, 0)
     y = np.where(inside, ids[at], -1)
@@ -198,47 +202,53 @@ class Attention:
     def loss(self, x: np.ndarray, y: np.ndarray, dist: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], Rows, Rows]:
         """Mean loss in nats over the places with a target, the gradients, that of emb by its rows, and what components explain of ids by ids.
 
-        With fixed distributions (components by ids) there is no gradient of z.
+        With fixed distributions (ids by components) there is no gradient of z.
         """
-        p, scale = self.p, np.float32(SIZE**-0.5)
-        has, xs, ys = (y >= 0).astype(np.float32)[..., None], np.where(x < 0, self.end + 1, x), np.maximum(y, 0)
-        n = max(float(has.sum()), 1.0)
-        e = p["emb"][xs]
-        q, k, v = e @ p["q"], e @ p["k"], e @ p["v"]
-        s = q @ k.swapaxes(1, 2) * scale + p["rel"][self.lag]
-        s[:, self.future] = -1e9
-        s = np.where((x < 0)[:, None, :] & ~np.eye(WINDOW, dtype=bool), np.float32(-1e9), s)
-        a = softmax(s)
-        o = a @ v
-        h = o @ p["o"] + e @ p["r"] + p["bh"]
+        p, scale, shape = self.p, np.float32(SIZE**-0.5), (*x.shape, -1)
+        pad, n = x < 0, max(int((y >= 0).sum()), 1)
+        has, xs, ys = (y >= 0).astype(np.float32).reshape(-1, 1), np.where(pad, self.end + 1, x).ravel(), np.maximum(y, 0).ravel()
+        e = p["emb"].take(xs, 0)
+        q, k, v = (e @ p["q"] * scale).reshape(shape), (e @ p["k"]).reshape(shape), (e @ p["v"]).reshape(shape)
+        a = q @ k.swapaxes(1, 2)
+        a += np.where(self.future, np.float32(-1e9), p["rel"][self.lag])
+        if (some := pad.any(1)).any():
+            a[some] += np.where(pad[some], np.float32(-1e9), np.float32(0))[:, None, :]
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(-1, keepdims=True)
+        o = (a @ v).reshape(e.shape)
+        h = o @ p["o"]
+        h += e @ p["r"]
+        h += p["bh"]
         h /= 1 + np.abs(h)
         pi = softmax(h @ p["u"] + p["b"])
         fixed = dist is not None
-        dist = dist if fixed else softmax(p["z"].copy())
-        joint = pi * dist.T[ys]
-        total = joint.sum(-1, keepdims=True) + 1e-30
-        resp = joint / total * has
+        dist = dist if fixed else np.ascontiguousarray(softmax(p["z"].copy()).T)
+        resp = pi * dist.take(ys, 0)
+        total = resp.sum(-1, keepdims=True) + 1e-30
+        resp *= has / total
         out = -float((np.log(total) * has).sum()) / n
-        flat = lambda m: m.reshape(-1, m.shape[-1])
         g: dict[str, np.ndarray] = {}
         dg = (pi * has - resp) / n
-        hit = by_row(ys.ravel(), flat(resp))
+        hit = by_row(ys, resp)
         if not fixed:
             z = np.zeros((MIXED, self.end + 1), np.float32)
             z[:, hit[0]] = hit[1].T
-            g["z"] = (z.sum(1, keepdims=True) * dist - z) / np.float32(n)
-        g["u"], g["b"] = flat(h).T @ flat(dg), dg.sum((0, 1))
+            g["z"] = (z.sum(1, keepdims=True) * dist.T - z) / np.float32(n)
+        g["u"], g["b"] = h.T @ dg, dg.sum(0)
         dt = (dg @ p["u"].T) * (1 - np.abs(h)) ** 2
-        g["o"], g["r"], g["bh"] = flat(o).T @ flat(dt), flat(e).T @ flat(dt), dt.sum((0, 1))
-        do, de = dt @ p["o"].T, dt @ p["r"].T
-        da, dv = do @ v.swapaxes(1, 2), a.swapaxes(1, 2) @ do
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
+        g["o"], g["r"], g["bh"] = o.T @ dt, e.T @ dt, dt.sum(0)
+        do, de = (dt @ p["o"].T).reshape(shape), dt @ p["r"].T
+        dv, ds = a.swapaxes(1, 2) @ do, do @ v.swapaxes(1, 2)
+        ds *= a
+        ds -= a * ds.sum(-1, keepdims=True)
         g["rel"] = np.bincount(self.lag.ravel(), np.where(self.future, 0, ds.sum(0)).ravel(), WINDOW).astype(np.float32)
-        dq, dk = ds @ k * scale, ds.swapaxes(1, 2) @ q * scale
+        dq, dk = ds @ k * scale, ds.swapaxes(1, 2) @ q
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(e).T @ flat(d)
-            de = de + d @ p[name].T
-        return out, g, by_row(xs.ravel(), flat(de)), hit
+            d = d.reshape(e.shape)
+            g[name] = e.T @ d
+            de += d @ p[name].T
+        return out, g, by_row(xs, de), hit
 
     def step(self, state: dict, t: int, g: dict[str, np.ndarray], emb: Rows, rate: float) -> None:
         """One step of Adam; of emb only the rows that a batch has."""
@@ -334,26 +344,26 @@ def groups(ids: list[bytes], most: int = 1 << 19) -> Iterator[list[bytes]]:
         yield run
 
 
-def pieces(ids: bytes, end: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pieces(ids: bytes, end: int, most: int = 1 << 19, each: int = STRIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Inputs and targets of one long text's windows, a bounded number at a time."""
     one, _ = strung([ids], end)
-    step = most // STRIDE * STRIDE
+    step = most // each * each
     for at in range(0, len(one), step):
-        lead = min(at, STRIDE)  # one more window before, which is dropped, gives the first one its context
-        x, y, _ = windows(one[at - lead : at + step], np.array([len(one[at - lead : at + step])]), end)
+        lead = min(at, each)  # one more window before, which is dropped, gives the first one its context
+        x, y, _ = windows(one[at - lead : at + step], np.array([len(one[at - lead : at + step])]), end, each)
         yield (x[1:], y[1:]) if lead else (x, y)
 
 
-def batches(ids: list[bytes], end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def batches(ids: list[bytes], end: int, step: int = STRIDE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(place of the run's first text, inputs, targets, each window's text in the run), in batches of bounded size."""
     first = 0
     for run in groups(ids):
         if len(run) == 1 and len(run[0]) > 1 << 20:
-            for x, y in pieces(run[0], end):
+            for x, y in pieces(run[0], end, each=step):
                 for at in range(0, len(x), TOGETHER):
                     yield first, x[at : at + TOGETHER], y[at : at + TOGETHER], np.zeros(len(x[at : at + TOGETHER]), np.int64)
         else:
-            x, y, text = windows(*strung(run, end), end)
+            x, y, text = windows(*strung(run, end), end, step)
             for at in range(0, len(x), TOGETHER):
                 yield first, x[at : at + TOGETHER], y[at : at + TOGETHER], text[at : at + TOGETHER]
         first += len(run)
@@ -452,7 +462,7 @@ def descended(shards: DataFrame, model: Attention, rate: float) -> np.ndarray:
     A shard's result depends on its rows only, and results are added as whole numbers, so it doesn't matter which tasks have them.
     """
     small = [k for k in model.p if k not in ("emb", "z")]
-    dist = np.ascontiguousarray((softmax(model.p["z"].astype(np.float64)) if model.dist is None else model.dist.T), np.float32)
+    dist = np.ascontiguousarray(softmax(model.p["z"].astype(np.float64)).T if model.dist is None else model.dist, np.float32)
     shared = shards.sparkSession.sparkContext.broadcast((model, dist))
     names = [f"c{c}" for c in range(SIZE)]
     flat = lambda p: np.concatenate([p[k].ravel() for k in small]).reshape(-1, SIZE)
@@ -468,9 +478,7 @@ def descended(shards: DataFrame, model: Attention, rate: float) -> np.ndarray:
             m.p = {k: v.copy() for k, v in first.p.items()}
             state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items() if k != "z"}
             told, met, seen, t = np.zeros((m.end + 1, MIXED)), np.zeros(top, np.int64), 0, 0
-            for _, x, y, _ in batches(ids, m.end):
-                y = y.copy()
-                y[:, : WINDOW - STRIDE] = -1  # these are targets of the window before
+            for _, x, y, _ in batches(ids, m.end, WINDOW):
                 _, g, emb, hit = m.loss(x, y, dist)
                 told[hit[0]] += hit[1]
                 met += np.bincount(x[x >= 0], minlength=top)
