@@ -8,13 +8,15 @@ Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 words in class and id. Inline mark-up is dropped; a block's white space is one space; blocks are joined by a line feed.
 
 Defined cases: a null or empty page has an empty text; unclosed and stray tags are tolerated as browsers do; without a host
-(no ://) pages vote together; ties between paths go to the higher score, then the first in order.
+(no ://) pages vote together; ties between paths go to the higher score, then the first in order; white space is what Unicode calls so. An open element
+keeps only its own step of the path, so memory and time are linear in a page's length however deep it nests. Only url, html and the named columns are read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,23 +49,33 @@ CLOSES = {
     "td": ({"td", "th", "p"}, {"table", "tr"}), "th": ({"td", "th", "p"}, {"table", "tr"}), "tr": ({"tr", "td", "th", "p"}, {"table"}),
     **{t: ({"tbody", "thead", "tfoot", "tr", "td", "th", "p"}, {"table"}) for t in ("tbody", "thead", "tfoot")}, "body": ({"head"}, set()),
 }
-SPACE = re.compile(r"[ \t\n\r\f\x0b\xa0]+")
+SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "inside", "order")
+    """An open element: its own step of the path, its parent, and what it hands down to its children."""
 
-    def __init__(self, tag: str, path: str, out: bool, inside: bool, order: int):
-        self.tag, self.path, self.out, self.inside, self.order = tag, path, out, inside, order
+    __slots__ = ("tag", "step", "up", "out", "inside", "linked", "box", "at")
+
+    def __init__(self, tag: str, step: str, up: Node | None, out: bool):
+        self.tag, self.step, self.up, self.out = tag, step, up, out
+        self.inside, self.linked, self.box, self.at = (up.inside, up.linked or tag == "a", up.box, up.at) if up else (False, False, None, 0)
+
+    def path(self) -> str:
+        steps, node = [], self
+        while node:
+            steps.append(node.step)
+            node = node.up
+        return "".join(reversed(steps))
 
 
 class Container:
-    """A container: how much text it holds outside of links and in them, and how much of the first is in no smaller container."""
+    """A container: how much text it holds outside of links and in them, and how much of each is in no smaller container."""
 
-    __slots__ = ("tag", "path", "out", "plain", "linked", "direct", "parent")
+    __slots__ = ("node", "parent", "plain", "linked", "direct", "score")
 
-    def __init__(self, tag: str, path: str, out: bool):
-        self.tag, self.path, self.out, self.plain, self.linked, self.direct, self.parent = tag, path, out, 0, 0, 0, None
+    def __init__(self, node: Node):
+        self.node, self.parent, self.plain, self.linked, self.direct, self.score = node, node.box, 0, 0, 0, 0.0
 
 
 def left_out(tag: str, attributes: str) -> tuple[bool, str]:
@@ -82,12 +94,18 @@ def left_out(tag: str, attributes: str) -> tuple[bool, str]:
 
 
 def walk(page: str, text, opened, blocked) -> None:
-    """Calls text(stack, piece) for text, opened(node) for elements and blocked() at the edges of blocks."""
-    stack = [Node("", "", False, False, 0)]
-    at, n, order = 0, len(page), 0
+    """Calls text(innermost element, piece) for text, opened(node) for elements and blocked() at the edges of blocks."""
+    stack = [Node("", "", None, False)]
+    at, n = 0, len(page)
+    n_open: Counter = Counter()  # of each tag; a tag that is not open need not be looked for
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        n_open[node.tag] += 1
 
     def close(k: int) -> None:
         for node in stack[k:]:
+            n_open[node.tag] -= 1
             if node.tag in BLOCKS:
                 blocked()
         del stack[k:]
@@ -95,21 +113,21 @@ def walk(page: str, text, opened, blocked) -> None:
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
-            text(stack, page[at:])
+            text(stack[-1], page[at:])
             break
         m = TAG.match(page, lt)
         if m is None:
-            text(stack, page[at : lt + 1])
+            text(stack[-1], page[at : lt + 1])
             at = lt + 1
             continue
         if lt > at:
-            text(stack, page[at:lt])
+            text(stack[-1], page[at:lt])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
+            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0) if n_open[tag] else 0
             if k:
                 close(k)
             elif tag in BLOCKS:
@@ -120,15 +138,15 @@ def walk(page: str, text, opened, blocked) -> None:
             at = end.end() if end else n
             continue
         if tag == "br":
-            text(stack, " ")
+            text(stack[-1], " ")
         if tag in CLOSES:
             shut, bounds = CLOSES[tag]
-            k = None
+            k, left = None, sum(n_open[t] for t in shut)
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in bounds:
+                if not left or stack[i].tag in bounds:
                     break
                 if stack[i].tag in shut:
-                    k = i
+                    k, left = i, left - 1
                 elif tag not in ("li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "option") and stack[i].tag in BLOCKS:
                     break
             if k is not None:
@@ -138,16 +156,15 @@ def walk(page: str, text, opened, blocked) -> None:
         attributes = m[3] if m[2] else m[6]
         if tag in VOID or tag not in BLOCKS and tag not in LEFT_OUT and not attributes and tag != "a":
             if tag not in VOID:
-                stack.append(Node(tag, stack[-1].path, stack[-1].out, stack[-1].inside, 0))
+                push(Node(tag, "", stack[-1], stack[-1].out))
             continue
         out, classes = left_out(tag, attributes)
-        order += 1
-        path = stack[-1].path + "/" + tag + (f".{classes}" if classes else "") if tag in BLOCKS else stack[-1].path
-        node = Node(tag, path, stack[-1].out or out, stack[-1].inside, order)
+        step = "/" + tag + (f".{classes}" if classes else "") if tag in BLOCKS else ""
+        node = Node(tag, step, stack[-1], stack[-1].out or out)
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         opened(node)
-        stack.append(node)
+        push(node)
     close(1)
 
 
@@ -158,40 +175,40 @@ def best_path(page: str) -> tuple[str, float]:
     one the path climbs to the outermost article, or where there is none through main and such containers whose other text is not mainly in links;
     outside main it must also be mainly right in the container and at most half of what is held so far, so that boxes beside a body stay out.
     """
-    scores: dict[int, float] = {}
-    found: dict[int, Container] = {}
+    found: list[Container] = []
 
     def opened(node: Node) -> None:
         if node.tag in CONTAINERS:
-            found[node.order] = Container(node.tag, node.path, node.out)
+            node.box = Container(node)
+            found.append(node.box)
 
-    def text(stack: list[Node], piece: str) -> None:
-        if stack[-1].out or not (n := len(piece.strip())):
+    def text(node: Node, piece: str) -> None:
+        if node.out or node.box is None or not (n := len(piece.strip())):
             return
-        linked = any(x.tag == "a" for x in stack)
-        weight, inner = 1.0, None
-        for node in reversed(stack):
-            if node.tag in CONTAINERS and node.order in found:
-                here = found[node.order]
-                here.plain, here.linked = here.plain + n * (not linked), here.linked + n * linked
-                if inner is None:
-                    here.direct += n * (not linked)
-                else:
-                    inner.parent = here
-                inner = here
-                if weight >= 0.5:
-                    scores[node.order] = scores.get(node.order, 0.0) + weight * (-n if linked else n)
-                    weight /= 2
+        if node.linked:
+            node.box.linked += n
+        else:
+            node.box.direct += n
 
     walk(page, text, opened, lambda: None)
-    k = min(scores, key=lambda i: (-scores[i], i), default=None)
-    if k is None or scores[k] <= 0:
+    for c in found:
+        own = c.direct - c.linked
+        c.score += own
+        if c.parent:
+            c.parent.score += own / 2
+    for c in reversed(found):  # what is inside comes later, so sums are complete when they are handed up
+        c.plain += c.direct
+        if c.parent:
+            c.parent.plain += c.plain
+            c.parent.linked += c.linked
+    first = max(found, key=lambda c: c.score, default=None)
+    if first is None or first.score <= 0:
         return "", 0.0
-    best = at = found[k]
+    best = at = first
     while (at := at.parent) is not None:
-        if not at.out and (at.tag == "article" or best.tag not in ("article", "main") and grown(best, at)):
+        if not at.node.out and (at.node.tag == "article" or best.node.tag not in ("article", "main") and grown(best, at)):
             best = at
-    return best.path, scores[k]
+    return best.node.path(), first.score
 
 
 def grown(inner: Container, outer: Container) -> bool:
@@ -199,7 +216,7 @@ def grown(inner: Container, outer: Container) -> bool:
     rest = outer.plain - inner.plain
     if 4 * (outer.linked - inner.linked) > rest:
         return False
-    return outer.tag == "main" or 2 * rest <= inner.plain and 2 * outer.direct >= rest
+    return outer.node.tag == "main" or 2 * rest <= inner.plain and 2 * outer.direct >= rest
 
 
 def main_text(page: str, path: str) -> str | None:
@@ -209,17 +226,19 @@ def main_text(page: str, path: str) -> str | None:
     met = [path == ""]
 
     def opened(node: Node) -> None:
-        if not node.out and node.path == path and node.tag in CONTAINERS:
+        # at is how much of path the steps so far spell, and below zero once they differ
+        if node.step:
+            node.at = node.at + len(node.step) if node.at >= 0 and path.startswith(node.step, node.at) else -1
+        if not node.out and node.at == len(path) and node.tag in CONTAINERS:
             node.inside = met[0] = True
 
-    def text(stack: list[Node], piece: str) -> None:
-        top = stack[-1]
-        if (top.inside or path == "") and not top.out:
+    def text(node: Node, piece: str) -> None:
+        if (node.inside or path == "") and not node.out:
             now.append(piece)
 
     def blocked() -> None:
         if now:
-            if b := SPACE.sub(" ", html.unescape("".join(now))).strip(" "):
+            if b := SPACE.sub(" ", html.unescape("".join(now))).strip():
                 blocks.append(b)
             now.clear()
 
