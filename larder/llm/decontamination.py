@@ -9,8 +9,11 @@ that, each sharing half with the next: some band holds the whole match. Bands th
 The windows' q-grams are broadcast in blocks of BLOCK_CHARS characters, a fixed size; documents are read once for each block, each in pieces that overlap
 by more than a window, so a text's length doesn't matter. Documents are never shuffled for the search.
 
-Defined cases: null or empty texts match nothing; items of under MIN_ITEM characters are too short to tell and are left out; an empty benchmark
-matches nothing; repeated documents and items are reported one by one.
+Items of under SHORT characters allow no edits that leave a bound, so they match where a document has them word for word, between word borders; an item
+that is a common word is so found in every document with that word.
+
+Defined cases: null or empty texts and items match nothing; an empty benchmark matches nothing; repeated documents and items (also with one or a null id) are
+reported one by one; item ids may be of any type; columns other than the text stay as they are in _row, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import table, whole
 
-Q, WINDOW, EDITS, MIN_ITEM = 8, 120, 0.1, 40
+Q, WINDOW, EDITS, SHORT = 8, 120, 0.1, 40
 BLOCK, BLOCK_CHARS, PIECE = 20_000, 2_000_000, 1 << 20
-FOUND = "array<struct<item_id:bigint,start:int,end:int,distance:int,windows:int>>"
+FOUND = "array<struct<item_id:{},start:int,end:int,distance:int,windows:int>>"
 _other = re.compile(r"[\W_]+")
+_word = re.compile(r"[^ ]+")
 _p1, _p2, _p4 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -59,12 +63,19 @@ def grams(codes: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of the windows of some items, for a broadcast."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, np.ndarray]] = []
+    def __init__(self, items: list[tuple[object, str]]):
+        self.ids = [item for item, _ in items]
+        self.windows: list[tuple[int, np.ndarray]] = []  # of items by their place in the block, for ids may repeat
+        self.short: dict[str, list[int]] = {}
+        self.sizes: dict[str, set[int]] = {}  # of the short items that begin with a word
         hashes, owner, place = [], [], []
-        for item, text in items:
-            codes = code_points(plain(text))
-            if len(codes) < MIN_ITEM:
+        for item, (_, text) in enumerate(items):
+            words = plain(text)
+            codes = code_points(words)
+            if len(codes) < SHORT:
+                if words:
+                    self.short.setdefault(words, []).append(item)
+                    self.sizes.setdefault(words.partition(" ")[0], set()).add(len(words))
                 continue
             starts = range(0, max(1, len(codes) - WINDOW // 2), WINDOW // 2) if len(codes) > WINDOW else [0]
             for s in starts:
@@ -90,20 +101,30 @@ class Index:
         self.bound = m - Q + 1 - self.edits * Q
         self.least, self.longest, self.most = (int(self.bound.min()), int(m.max()), int(self.edits.max())) if len(m) else (1, 0, 0)
 
-    def found(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item, start, end, distance, windows) for every item of which a window matches; places in the plain text."""
-        codes, best = code_points(plain(text)), {}
-        if not len(self.values):
-            return []
+    def verbatim(self, words: str) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the short items in a plain text."""
+        for m in _word.finditer(words) if self.short else ():
+            for n in self.sizes.get(m[0], ()):
+                end = m.start() + n
+                if words[end : end + 1] in ("", " "):
+                    for item in self.short.get(words[m.start() : end], ()):
+                        yield item, m.start(), end
+
+    def found(self, text: str) -> list[tuple[object, int, int, int, int]]:
+        """(item_id, start, end, distance, windows) for every item of which a window matches; places in the plain text."""
+        words = plain(text)
+        codes, best = code_points(words), {}
+        for item, start, end in self.verbatim(words):
+            best[item] = (best[item][0] if item in best else start, end, 0, {-1})
         reach = self.longest + 2 * self.most
-        for at in range(0, max(1, len(codes)), PIECE):
+        for at in range(0, len(codes) if len(self.values) else 0, PIECE):
             for w, start, end, distance in self.matches(codes[at : at + PIECE + reach]):
                 item = self.windows[w][0]
                 old = best.get(item)
                 seen = {w} if old is None else old[3] | {w}
                 new = (start + at, end + at, distance)
                 best[item] = (*new, seen) if old is None else (min(old[0], new[0]), max(old[1], new[1]), min(old[2], new[2]), seen)
-        return sorted((item, s, e, d, len(ws)) for item, (s, e, d, ws) in best.items())
+        return [(self.ids[item], s, e, d, len(ws)) for item, (s, e, d, ws) in sorted(best.items())]
 
     def matches(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         h = grams(codes)
@@ -229,7 +250,7 @@ def banded(window: np.ndarray, codes: np.ndarray, low: int, high: int, edits: in
     return (int(start[best]), int(m + low + best), int(cost[best])) if cost[best] <= edits else None
 
 
-def with_found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def with_found(docs: DataFrame, items: list[tuple[object, str]], id_type: str = "bigint") -> DataFrame:
     """_row (all columns) and _found for one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
@@ -237,10 +258,10 @@ def with_found(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         for batch in batches:
             yield pd.Series([[dict(zip(("item_id", "start", "end", "distance", "windows"), x, strict=True)) for x in shared.value.found(t)] if isinstance(t, str) else [] for t in batch], dtype=object)
 
-    return docs.select(whole(docs).alias("_row"), F.pandas_udf(run, FOUND)(F.col("text")).alias("_found"))
+    return docs.select(whole(docs).alias("_row"), F.pandas_udf(run, FOUND.format(id_type))(F.col("text")).alias("_found"))
 
 
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
     """The items, at most BLOCK items and BLOCK_CHARS characters (or one item) at a time."""
     block, chars = [], 0
     for r in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
@@ -256,7 +277,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, columns: list[Column]) -> DataF
     """columns (of _row), item_id, start, end, distance and windows: one row for each document and item that match."""
     out = None
     for items in blocks(benchmark):
-        one = with_found(docs, items).select(*columns, F.explode("_found").alias("f")).select("*", "f.*").drop("f")
+        one = with_found(docs, items, benchmark.schema["item_id"].dataType.simpleString()).select(*columns, F.explode("_found").alias("f")).select("*", "f.*").drop("f")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -264,7 +285,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, columns: list[Column]) -> DataF
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no benchmark item is found."""
     for items in blocks(benchmark):
-        docs = with_found(docs, items).where(F.size("_found") == 0).select("_row.*")
+        docs = with_found(docs, items, benchmark.schema["item_id"].dataType.simpleString()).where(F.size("_found") == 0).select("_row.*")
     return docs
 
 
