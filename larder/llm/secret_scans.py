@@ -1,11 +1,12 @@
 """Secrets in texts: three base patterns, and encoded keys and signed tokens that are reported only if their structure holds.
 
 Base64 and hex candidates are decoded and parsed: a private key must be a DER sequence whose nested lengths fill it
-exactly and whose fields are those of PKCS#1, PKCS#8 or SEC 1, or an OpenSSH key whose length-prefixed fields fill it;
-a signed token must have a JSON header that names an algorithm and a JSON payload. What decodes to text is decoded once more.
+exactly and whose fields are those of PKCS#1, PKCS#8 (plain or encrypted) or SEC 1, or an OpenSSH key whose length-prefixed fields fill it;
+keys may be in either base64 alphabet, wrapped over lines, or in armour, whose headers may say that the key is encrypted by a block cipher; a signed token must have a JSON header that names an algorithm and a JSON payload. What decodes to text is decoded once more.
 
 All patterns start at the start of a run and never give characters back, so a text takes time linear in its length.
-Offsets count code points, ends are exclusive. Defined cases: a null text is empty; the hash of no spans is that of the empty string.
+Offsets count code points, ends are exclusive. Defined cases: a null text is empty; the hash of no spans is that of the empty string; repeated rows are
+scanned one by one; an empty table gives no rows; only the text (and n_chars, which redact() counts anew) is read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -29,8 +30,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}[0-9a-f]*")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]++)")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----([A-Za-z0-9+/=\s\\]*+)(?:-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?")
+PEM = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----((?:(?:\s|\\[nr])*+[A-Za-z][A-Za-z-]*+: [^\r\n\\]*+)*+)([A-Za-z0-9+/=\s\\]*+)(?:-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?"
+)
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,}")
 B64_RUN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}+={0,2}")
+URL_RUN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{44,}+={0,2}")
+#: Lines of 40 characters or more, and a last one of any length.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{40,}+[ \t]*+\r?\n[ \t]*+)++(?:[A-Za-z0-9+/_-]++={0,2})?")
 HEX_RUN = re.compile(r"(?<![A-Za-z0-9+/])(?:[0-9a-fA-F]{2}){32,}+(?![A-Za-z0-9+/=])")
 MARK = "[SECRET]"
 
@@ -92,6 +99,14 @@ def is_der_key(data: bytes) -> bool:
     return tags[:2] == [2, 4] and inner[0][1] == b"\1" and len(inner[1][1]) in (20, 24, 28, 32, 48, 66) and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """PKCS#8, encrypted: a named scheme with its parameters, and what it encrypts."""
+    if data[:1] != b"\x30" or not (top := fields(data)) or len(top) != 1 or not (inner := fields(top[0][1])) or [t for t, _ in inner] != [0x30, 4]:
+        return False
+    scheme = fields(inner[0][1])
+    return bool(scheme) and [t for t, _ in scheme] == [6, 0x30] and bool(fields(scheme[1][1])) and len(inner[1][1]) >= 16
+
+
 def is_openssh_key(data: bytes) -> bool:
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
@@ -119,14 +134,14 @@ def is_openssh_key(data: bytes) -> bool:
 def key_kind(data: bytes | None, depth: int = 1) -> str | None:
     if not data:
         return None
-    if is_der_key(data):
+    if is_der_key(data) or is_encrypted_key(data):
         return "der"
     if is_openssh_key(data):
         return "openssh"
     if depth and data.isascii():
         s = data.decode().strip()
         if m := PEM.search(s):
-            return "pem" if key_kind(unbase64(re.sub(r"\s", "", m[1])), 0) else None
+            return "pem" if is_armoured(m) else None
         if HEX_RUN.fullmatch(s):
             return key_kind(bytes.fromhex(s), 0)
         if B64_RUN.fullmatch(s):
@@ -134,6 +149,20 @@ def key_kind(data: bytes | None, depth: int = 1) -> str | None:
     return None
 
 
+def is_armoured(m: re.Match) -> bool:
+    """Whether what PEM found holds a key, or by its headers one that a block cipher encrypts."""
+    data = unbase64(re.sub(r"\\[nr]|\s", "", m[2]))
+    return bool(key_kind(data, 0)) or bool(data) and CIPHER.search(m[1]) is not None and len(data) >= 16 and len(data) % 8 == 0
+
+
+def run_kind(s: str) -> str | None:
+    """The kind of key in a run of characters; hex digits are base64 characters too, so a run is tried as either."""
+    digits = s[2:] if s[:2] in ("0x", "0X") else s
+    if HEX_RUN.fullmatch(digits) and (kind := key_kind(bytes.fromhex(digits))):
+        return kind
+    return key_kind(unbase64(s, b"-_" if "-" in s or "_" in s else None))
+
+
 def is_token(m: re.Match) -> bool:
     try:
         head, body = (json.loads(unbase64(m[i], b"-_") or b"") for i in (1, 2))
@@ -147,13 +176,22 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     keys = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if key_kind(unbase64(re.sub(r"(?:\\[nr]|\s)", "", m[1])), 0):
+            if is_armoured(m):
                 keys.append((m.start(), 4, m.end()))
-    for m in B64_RUN.finditer(text):
-        # hex digits are base64 characters too, so a run is tried as either
-        kind = HEX_RUN.fullmatch(m[0]) and key_kind(bytes.fromhex(m[0])) or key_kind(unbase64(m[0]))
-        if kind and not any(s <= m.start() and m.end() <= e for s, _, e in keys):
-            keys.append((m.start(), KINDS.index(kind), m.end()))
+    free = lambda start, end: not any(s <= start and end <= e for s, _, e in keys)
+    for m in WRAPPED.finditer(text):
+        if not free(m.start(), m.end()):
+            continue
+        rows = m[0].split("\n")
+        for n in (len(rows), len(rows) - 1):  # what follows the key may look like a last line of it
+            run = "\n".join(rows[:n]).rstrip()
+            if n and (kind := run_kind("".join(run.split()))):
+                keys.append((m.start(), KINDS.index(kind), m.start() + len(run)))
+                break
+    for pattern in (B64_RUN, URL_RUN):
+        for m in pattern.finditer(text):
+            if free(m.start(), m.end()) and (kind := run_kind(m[0])):
+                keys.append((m.start(), KINDS.index(kind), m.end()))
     return out + keys
 
 

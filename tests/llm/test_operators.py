@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import pytest
 
@@ -84,6 +85,37 @@ def test_secret_structures():
     assert ss.redact_text(f"é {b64} token = abcdef. {jwt}") == f"é {ss.MARK} token = {ss.MARK} {ss.MARK}"
 
 
+def test_wrapped_headered_encrypted_and_url_safe_keys():
+    rng = random.Random(8)
+    raw = lambda n: bytes(rng.randrange(128, 256) for _ in range(n))
+    rsa = der(0x30, der(2, b"\0") + der(2, b"\0" + raw(64)) + b"".join(der(2, b"\1" + raw(30)) for _ in range(7)))
+    locked = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + der(0x30, der(4, raw(8)))) + der(4, raw(64)))
+    lines = lambda s, n: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+    b64 = lambda b: base64.b64encode(b).decode()
+    kinds = lambda text: [(ss.KINDS[k], text[a:b]) for a, k, b in ss.confirmed_spans(text)]
+    url = base64.urlsafe_b64encode(rsa).decode().rstrip("=")
+    assert "-" in url or "_" in url
+    for s in (lines(b64(rsa), 64), lines(b64(rsa), 76).replace("\n", "\r\n"), lines(rsa.hex(), 64), url, b64(locked), "0x" + rsa.hex()):
+        assert kinds(f"see {s}\nthe end") == [("der", s)], s
+        assert kinds(f"{s}\n") == [("der", s)]
+        assert kinds(f"see {s[:-9]}\nthe end") == []
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    pem = lambda h, b, k="RSA ": f"-----BEGIN {k}PRIVATE KEY-----\n{h}{lines(b64(b), 64)}\n-----END {k}PRIVATE KEY-----"
+    for s in (pem(head, raw(160)), pem("Comment: mine\n", rsa), pem("", locked, "ENCRYPTED ")):
+        assert kinds(f"a {s} b") == [("pem", s)]
+    assert kinds(pem(head, raw(161))) == [] and kinds(pem("", raw(160))) == []
+    long = "A" * 400_000 + "\n" + ("ab-_" * 15 + "\n") * 5000
+    t = time.perf_counter()
+    assert kinds(long) == [] and time.perf_counter() - t < 10
+
+
+def test_secret_tables_with_odd_rows(spark):
+    df = spark.createDataFrame([(1, None, 5, "x"), (1, "", 0, "x"), (2, "token: abcdef", 13, "x"), (2, "token: abcdef", 13, "x")], "doc_id long, text string, n_chars long, s string")
+    got = ss.redact(df)
+    assert got.columns == df.columns and sorted((r.text or "-", r.n_chars) for r in got.where("text IS NOT NULL").collect()) == [("-", 0), *[("token: [SECRET]", 15)] * 2]
+    assert ss.redact(df.where("false")).count() == 0 and df.where("false").select(ss.secrets(df["text"]).alias("s")).count() == 0
+
+
 def test_base_spans_follow_the_patterns():
     rng = random.Random(3)
     bits = ["password", "PassWD", "token", "api_key", "apikey", "=", ":", " ", "'", '"', "abc", "AKIA", "A1B2C3D4E5F6G7H8", "0a1b2c3d", "deadbeef" * 3, "ſecret", "\n", "é"]
@@ -202,6 +234,19 @@ def test_text_around_the_best_container(html, text):
     assert he.main_text(html, he.best_path(html)[0]) == text
 
 
+def test_deep_and_odd_pages_take_linear_time():
+    body = "<p>the text of the page</p>"
+    n = 100_000
+    pages = ["<div>" * n + body, "<div>" * n + body + "</b>" * n, "<dl>" + "<div>" * n + "<dd>x" * n, "<b>" * n + body, "".join(f"<div class=c{i % 3}>t<a>" for i in range(n)) + body]
+    for page in pages:
+        t = time.perf_counter()
+        path, _ = he.best_path(page)
+        assert he.main_text(page, path) is not None
+        assert time.perf_counter() - t < 30
+    assert he.main_text(pages[0], he.best_path(pages[0])[0]) == "the text of the page"
+    assert he.main_text("<article><p>a\u2003\u3000b\u00a0</p></article>", "/article") == "a b"
+
+
 def test_hosts_vote(spark):
     page = lambda side: f"<body><div class='c1'><p>{'main words ' * 9}</p></div><div class='s'><p>{side}</p></div></body>"
     rows = [(i, "http://h.x/1", page("small"), "z") for i in range(5)] + [(9, "http://H.x/2", page("a very large box " * 30), "z")]
@@ -258,6 +303,17 @@ def test_leaks(spark, monkeypatch):
     assert [x[:1] for x in dc.Index([(0, items[0])]).found(docs[1][1])] == [(0,)]
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [("a", "Why? Because."), ("b", "yes"), (None, "yes"), ("c", "one two three"), ("d", " .. "), ("e", "")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    texts = ["He said: why -- because I can", "yesterday", "Oh, YES!", "one two threes", "x one, two\nthree", "", None]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, _found string")
+    got = {(r.doc_id, r.item_id, r.start, r.end) for r in dc.leaks(df, bench, [dc.F.col("_row.doc_id").alias("doc_id")]).collect()}
+    assert got == {(0, "a", 8, 19), (2, "b", 3, 6), (2, None, 3, 6), (4, "c", 2, 15)}
+    assert sorted(r.doc_id for r in dc.decontaminated(df, bench).collect()) == [1, 3, 5, 6]
+    assert [x[1:] for x in dc.Index([(1, "yes"), (1, "yes")]).found("yes yes")] == [(0, 7, 0, 1)] * 2
+
+
 # -- packing
 
 
