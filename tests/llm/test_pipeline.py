@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from larder.llm import decontamination, packing, secret_scans
+from larder.llm import decontamination, near_dedup, packing, secret_scans
 from tests.llm.test_near_dedup import brute, edited, words
 from tests.llm.test_operators import counted
 
@@ -47,3 +47,23 @@ def test_stages_against_plain_python(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(clean) and sum(r.length for r in out) == sum(len(t.split()) + 1 for t in seen[3].values())
     assert all(r.capacity in packing.CAPACITIES for r in out)
+
+
+def test_near_duplicates_of_a_crowd(spark, monkeypatch):
+    rng, most, stored = random.Random(17), [0], near_dedup.stored
+    template, others = words(rng, 120), words(rng, 2000)
+    texts = [" ".join(template + rng.sample(others, 60)) for _ in range(200)]  # most share a rare word
+    texts += [" ".join(edited(rng, t.split(), 12)) for t in texts[:40:4]]
+
+    def storing(df, label):
+        out = stored(df, label)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "order_minhash", lambda text: ([1], len(text.split())))  # one large bucket
+    monkeypatch.setattr(near_dedup, "stored", storing)
+    df = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(brute(texts)))
+    assert most[0] <= len(texts)  # no table has a row for each pair
