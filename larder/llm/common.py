@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import uuid
@@ -49,7 +50,6 @@ def tidy() -> None:
     """Gives freed memory of a Python worker back: workers stay for later tasks, and what they held would count beside the JVM's."""
     import ctypes
     import ctypes.util
-    import gc
 
     import pyarrow as pa
 
@@ -75,6 +75,12 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of ended jobs whose frames nothing holds any more: it does so only after the driver's JVM has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sized(side: DataFrame) -> DataFrame:
     """side, which should be stored, with a broadcast hint if it is small; else as it is, for a shuffled join whose skew AQE splits."""
     strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in side.dtypes if t in ("string", "binary")]

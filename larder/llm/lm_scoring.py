@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, stored, table, tidy
+from .common import crc_mod, stored, swept, table, tidy
 
 FREQUENT = 400_000
 WINDOW, STRIDE = 32, 24
@@ -556,6 +556,7 @@ def trained(texts: DataFrame, end: int) -> Attention:
     for k in range(ROUNDS if total else 0):
         n += descended(dealt.where(F.col("shard") % ROUNDS == k), model, RATE * (1 - k / ROUNDS))
         model.dist = smoothed(n)
+        swept(texts.sparkSession)  # a round has shuffled its part of all ids
     model.dist = smoothed(explained(texts, model.tables()))
     return model
 
@@ -578,6 +579,7 @@ def scored(docs: DataFrame, path: str) -> DataFrame:
     learned = docs.where("NOT held_out")
     counts, ends = word_counts(learned), learned.count()
     total, kinds = counts.agg(F.sum("c"), F.count("*")).first()
+    swept(spark)
     n, v = (total or 0) + ends, kinds + (ends > 0)
     # at most FREQUENT rows, for their counts add up to n at most, of bounded length
     is_often = (F.col("c") * FREQUENT >= n) & (F.octet_length("word") <= 64)

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -142,3 +143,26 @@ def test_the_model_beats_a_unigram_of_subwords_on_held_out_texts(spark):
     unigram = np.log10((counts + 0.5) / (counts + 0.5).sum())
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > 0.85 * sum(unigram[ids[r.doc_id]].sum() for r in held)
+
+
+def test_shuffled_ids_go_when_a_round_has_ended(spark, monkeypatch):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv
+    rng, left, descended = np.random.default_rng(6), [], lm.descended
+    rows = [(i, 401, bytearray(rng.integers(0, 300, 400).astype(np.uint16).tobytes())) for i in range(200)]
+    texts = spark.createDataFrame(rows, "key long, n_ids long, ids binary")
+
+    def names():
+        files = env.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (files.apply(i).getName() for i in range(files.size())) if x.startswith("shuffle_")}
+
+    def watched(*args):
+        time.sleep(2)  # files go in the background
+        left.append(len(names() - before))
+        return descended(*args)
+
+    monkeypatch.setattr(lm, "SHARD", 5000)
+    monkeypatch.setattr(lm, "descended", watched)
+    before = names()
+    model = lm.trained(texts, 300)
+    assert model.dist is not None and len(left) == lm.ROUNDS
+    assert max(left[2:]) <= left[1], left  # one round's at most, not those of all
