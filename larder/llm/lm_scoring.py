@@ -22,14 +22,14 @@ columns other than the id and the text are not read, so their names can't clash.
 from __future__ import annotations
 
 import base64
-from array import array
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,8 @@ SIZE, HIDDEN, MIXED = 16, 16, 16
 SAMPLE, STEPS, BATCH, PER_TEXT = 8192, 240, 192, 4
 ROUNDS, RATE, SHARD, UNIT = 4, 0.004, 1 << 20, float(1 << 16)
 SMOOTH = 50.0
-CACHED, SLICE, TOGETHER = 200_000, 256, 256
+CACHED, SLICE, TOGETHER, SCORED, BLOCK = 200_000, 1 << 22, 256, 64, 256
+BLANK = re.compile(r"[^\S ]")
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -60,49 +61,109 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def spaced(path: str) -> np.ndarray:
+    """Which ids begin with a space."""
+    encoding = encoder(path)
+    return np.array([encoding.decode_single_token_bytes(k).startswith(b" ") for k in range(encoding.n_vocab)])
+
+
 class Words:
-    """Ids of words as bytes of 16-bit numbers; keeps what it has seen."""
+    """Numbers words as they come and keeps their subword ids (16 bits each) and what `known` tells of them (nan: nothing)."""
+
+    def __init__(self, path: str, known: dict[bytes, float] | None = None):
+        self.encoding, self.known = encoder(path), known or {}
+        self.first = spaced(path)
+        self.clear()
 
-    def __init__(self, path: str):
-        self.encode, self.seen = encoder(path).encode_ordinary, {}
+    def clear(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.flat, self.at, self.told = np.empty(0, np.uint16), np.zeros(1, np.int64), np.empty(0)
 
-    def ids(self, words: list[bytes], distinct: Iterable[bytes] | None = None) -> bytes:
+    def encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, each with a space before it, and how many each has.
+
+        Words hold no space, so in a text of many words those ids whose bytes begin with a space begin a word, unless other white space is in the way.
+        """
+        text = b" ".join([b"", *words]).decode()
+        if not BLANK.search(text):
+            ids = self.encoding.encode_to_numpy(text, disallowed_special=())
+            first = np.flatnonzero(self.first[ids])
+            if len(first) == len(words):
+                return ids.astype(np.uint16), np.diff(np.append(first, len(ids)))
+        if len(words) == 1:
+            ids = self.encoding.encode_ordinary(text)
+            return np.array(ids, np.uint16), np.array([len(ids)])
+        odd = [bool(BLANK.search(w.decode())) for w in words]
+        if not any(odd) or all(odd):
+            parts = [self.encoded([w]) for w in words]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        rest, one = self.encoded([w for w, o in zip(words, odd, strict=True) if not o]), self.encoded([w for w, o in zip(words, odd, strict=True) if o])
+        at = np.argsort(odd, kind="stable")  # those without other white space first
+        sizes = np.empty(len(words), np.int64)
+        sizes[at] = both = np.concatenate([rest[1], one[1]])
+        begin = np.empty(len(words), np.int64)
+        begin[at] = np.cumsum(both) - both
+        return np.concatenate([rest[0], one[0]])[spread(begin, sizes)], sizes
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of distinct words."""
         seen = self.seen
-        for w in set(words) if distinct is None else distinct:
-            if w not in seen:
-                seen[w] = array("H", self.encode(" " + w.decode())).tobytes()
-        out = b"".join(map(seen.__getitem__, words))
-        if len(seen) > CACHED:
-            self.seen = {}
-        return out
+        out = list(map(seen.get, words))
+        if None in out:
+            new = [w for w, k in zip(words, out, strict=True) if k is None]
+            seen.update(zip(new, range(len(seen), len(seen) + len(new))))
+            ids, sizes = self.encoded(new)
+            self.flat = np.concatenate([self.flat, ids])
+            self.at = np.append(self.at, self.at[-1] + np.cumsum(sizes))
+            self.told = np.append(self.told, [self.known.get(w, np.nan) for w in new])
+            out = list(map(seen.__getitem__, words))
+        return np.array(out, np.int64)
 
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        sizes = np.diff(self.at)[numbers]
+        return self.flat[spread(self.at[numbers], sizes)], sizes
 
-@lru_cache(maxsize=2)
-def words_of(path: str) -> Words:
-    return Words(path)
+    def ids(self, words: list[bytes]) -> bytes:
+        return self.joined(np.concatenate([self.numbers([w]) for w in words]))[0].tobytes() if words else b""
+
+
+def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each size, strung together."""
+    return np.arange(sizes.sum()) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_lower).split()
 
 
+def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all of them, lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, text = lists.flatten(), pc.list_parent_indices(lists)
+    some = pc.not_equal(words, "")  # white space at either end leaves empty words
+    return np.bincount(text.filter(some).to_numpy(), minlength=len(texts)), words.filter(some)
+
+
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of about SLICE bytes at most, for words and their numbers take many times the room of the text; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """word and c, how often it comes in the column text of texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter = Counter()
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], ["word", "c"])
-
         for part in parts:
-            for t in part.column(0).to_pylist():
-                tally.update(split(t))
-                if len(tally) > CACHED:
-                    yield told()
-                    tally.clear()
-        yield told()
-        tally.clear()
+            for some in slices(part.column(0).cast(pa.string())):
+                tally = words_in(some)[1].value_counts()
+                yield pa.RecordBatch.from_arrays([tally.field(0).cast(pa.binary()), tally.field(1)], ["word", "c"])
         tidy()
 
     return stored(texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
@@ -112,35 +173,34 @@ def read(text: Column, path: str, often: Broadcast) -> Column:
     """A struct of n_words, the subword ids, the frequent words' sum of log10(c + 1) and number, and the other distinct words with their counts."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = Words(path, often.value)
         for batch in batches:
-            # a few texts at a time, for their words as Python objects take many times the room of the text
-            parts = [part(batch.slice(at, SLICE)) for at in range(0, len(batch), SLICE)] or [part(batch)]
-            yield pa.concat_arrays(parts)
-        words_of.cache_clear()
+            batch = batch.cast(pa.string())
+            yield pa.concat_arrays([part(some, vocabulary) for some in slices(batch)] or [part(batch, vocabulary)])
+        del vocabulary
         tidy()
 
-    def part(batch: pa.Array) -> pa.Array:
-        vocabulary, known = words_of(path), often.value
-        n, ids, logs, seen, words, counts = [], [], [], [], [], []
-        for t in batch.cast(pa.string()).to_pylist():
-            ws = split(t)
-            tally = Counter(ws)
-            n.append(len(ws))
-            ids.append(vocabulary.ids(ws, tally))
-            total, number, rare, times = 0.0, 0, [], []
-            for w, k in tally.items():
-                if (x := known.get(w)) is None:
-                    rare.append(w)
-                    times.append(k)
-                else:
-                    total += k * x
-                    number += k
-            logs.append(total)
-            seen.append(number)
-            words.append(rare)
-            counts.append(times)
-        arrays = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(logs), pa.array(seen, pa.int64()), pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))]
-        return pa.StructArray.from_arrays(arrays, ["n_words", "ids", "logs", "known", "words", "counts"])
+    def part(texts: pa.Array, vocabulary: Words) -> pa.Array:
+        n, words = words_in(texts)
+        words = words.dictionary_encode()
+        kinds, place = words.dictionary.cast(pa.binary()), words.indices.to_numpy()
+        numbers = vocabulary.numbers(kinds.to_pylist())
+        text, number = np.repeat(np.arange(len(n)), n), numbers[place]
+        ids, sizes = vocabulary.joined(number)
+        edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(n))] * 2
+        ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids)])
+        logs = vocabulary.told[number]
+        rare = np.isnan(logs)
+        known = n - np.bincount(text[rare], minlength=len(n))
+        logs = np.bincount(text, np.where(rare, 0.0, logs), len(n))
+        # the other words of a text once each
+        pairs, times = np.unique(text[rare] * len(kinds) + place[rare], return_counts=True)
+        edges = np.append(0, np.cumsum(np.bincount(pairs // max(1, len(kinds)), minlength=len(n)))).astype(np.int32)
+        others = pa.ListArray.from_arrays(edges, kinds.take(pa.array(pairs % max(1, len(kinds)))))
+        counts = pa.ListArray.from_arrays(edges, pa.array(times.astype(np.int32)))
+        if len(vocabulary.seen) > CACHED:
+            vocabulary.clear()
+        return pa.StructArray.from_arrays([pa.array(n), ids, pa.array(logs), pa.array(known), others, counts], ["n_words", "ids", "logs", "known", "words", "counts"])
 
     return F.arrow_udf(run, "n_words long, ids binary, logs double, known long, words array<binary>, counts array<int>")(text)
 
@@ -159,17 +219,19 @@ def windows(ids: np.ndarray, lengths: np.ndarray, end: int, step: int = STRIDE)
 
     A window's first WINDOW - step places only give context; places outside the text have target -1.
     """
-    n = -(-lengths // step)
+    n, lead = -(-lengths // step), WINDOW - step
     text = np.repeat(np.arange(len(lengths)), n)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    first = (np.cumsum(lengths) - lengths)[text]
-    place = (nth * step - (WINDOW - step))[:, None] + np.arange(WINDOW)
-    inside = (place >= 0) & (place < lengths[text][:, None])
-    at = np.where(inside, first[:, None] + place, 0)
-    y = np.where(inside, ids[at], -1)
+    first, room = np.cumsum(lengths) - lengths, lead + n * step
+    begin = np.cumsum(room) - room  # each text with room around it, so that a window is a run
+    at = spread(begin + lead, lengths)
+    x, y = np.full((2, room.sum()), -1)
+    y[at] = ids
     # the input of a place is the id before it, and the start mark at a text's first place
-    x = np.where(inside & (place > 0), ids[np.maximum(at - 1, 0)], end + 1)
-    return np.where(inside, x, -1), y, text
+    x[at[1:]] = ids[:-1]
+    x[at[first]] = end + 1
+    runs = spread(begin, n) * step - np.repeat(begin * (step - 1), n)
+    x, y = (np.lib.stride_tricks.sliding_window_view(v, WINDOW)[runs] if len(runs) else v.reshape(0, WINDOW) for v in (x, y))
+    return x, y, text
 
 
 Rows = tuple[np.ndarray, np.ndarray]
@@ -180,7 +242,10 @@ def by_row(ids: np.ndarray, values: np.ndarray) -> Rows:
     order = np.argsort(ids.astype(np.uint16) if len(ids) and ids.max() < 1 << 16 else ids, kind="stable")  # 16 bits are sorted digit by digit
     ids = ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    return ids[first], np.add.reduceat(values.take(order, 0), first, axis=0)
+    values = values.take(order, 0)
+    if values.shape[1] % 2 == 0:  # two numbers are added as one complex number
+        return ids[first], np.add.reduceat(values.view(f"c{2 * values.itemsize}"), first, axis=0).view(values.dtype)
+    return ids[first], np.add.reduceat(values, first, axis=0)
 
 
 def row_sums(x: np.ndarray) -> np.ndarray:
@@ -188,8 +253,24 @@ def row_sums(x: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)).reshape(*x.shape[:-1], 1)
 
 
-def longest(x: np.ndarray) -> float:
-    return float(np.sqrt(row_sums(x * x).max())) if x.size else 0.0
+def blocks(x: np.ndarray) -> np.ndarray:
+    """Rows in blocks where they divide evenly: products of thin matrices are faster in blocks."""
+    return x.reshape(-1, BLOCK, x.shape[-1]) if len(x) and len(x) % BLOCK == 0 else x[None]
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b of a long a and a small b."""
+    return (blocks(a) @ b).reshape(len(a), -1)
+
+
+def across(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of two long ones."""
+    return (blocks(a).swapaxes(1, 2) @ blocks(b)).sum(0)
+
+
+def turned(x: np.ndarray) -> np.ndarray:
+    """The last two axes swapped, in a copy, which products take faster."""
+    return np.ascontiguousarray(x.swapaxes(1, 2))
 
 
 class Attention:
@@ -209,7 +290,7 @@ class Attention:
         self.lag, self.future = np.maximum(lag, 0), lag < 0
 
     def loss(self, x: np.ndarray, y: np.ndarray, dist: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], Rows, Rows]:
-        """Mean loss in nats over the places with a target, the gradients, that of emb by its rows, and what components explain of ids by ids.
+        """Mean loss in nats over the places with a target, the gradients, that of emb by its rows, and the targets with what components explain of each.
 
         With fixed distributions (ids by components) there is no gradient of z.
         """
@@ -218,24 +299,30 @@ class Attention:
         has, xs, ys = (y >= 0).astype(np.float32).reshape(-1, 1), np.where(pad, self.end + 1, x).ravel(), np.maximum(y, 0).ravel()
         e = p["emb"].take(xs, 0)
         into = np.concatenate([p["q"] * scale, p["k"], p["v"], p["r"]], 1)
-        all_of_e = e @ into
+        all_of_e = product(e, into)
         q, k, v = (all_of_e[:, i : i + SIZE] for i in (0, SIZE, 2 * SIZE))
-        plain = longest(q) * longest(k) + np.abs(p["rel"]).max() < 60  # exponents in this range need no shift by the largest
         q, k, v = q.reshape(shape), k.reshape(shape), v.reshape(shape)
-        a = q @ k.swapaxes(1, 2)
+        a = q @ turned(k)
+        plain = max(a.max(initial=0), -a.min(initial=0)) + np.abs(p["rel"]).max() < 60  # exponents in this range need no shift by the largest
         a += np.where(self.future, np.float32(-1e9), p["rel"][self.lag])
         if (some := pad.any(1)).any():
             a[some] += np.where(pad[some], np.float32(-1e9), np.float32(0))[:, None, :]
         if not plain:
             a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a /= np.maximum(row_sums(a), np.float32(1e-30))
+        # a stays as it is; what it is multiplied with is divided by its rows' sums, which takes fewer numbers
+        part = row_sums(a).reshape(-1, 1)
+        part = 1 / np.where(part > 0, part, np.float32(1))
         o = (a @ v).reshape(e.shape)
-        h = o @ p["o"]
+        o *= part
+        h = product(o, p["o"])
         h += all_of_e[:, 3 * SIZE :]
         h += p["bh"]
-        h /= 1 + np.abs(h)
-        pi = h @ p["u"]
+        slope = np.abs(h)
+        slope += 1
+        np.reciprocal(slope, out=slope)
+        h *= slope
+        pi = product(h, p["u"])
         pi += p["b"]
         if np.abs(p["u"]).sum(0).max() + np.abs(p["b"]).max() >= 60:
             pi -= pi.max(-1, keepdims=True)
@@ -248,24 +335,37 @@ class Attention:
         resp *= has / total
         out = -float((np.log(total) * has).sum()) / n
         g: dict[str, np.ndarray] = {}
-        dg = (pi * has - resp) / n
-        hit = by_row(ys, resp)
+        dg = pi
+        dg -= resp
+        dg *= has / n
+        hit = ys, resp
         if not fixed:
             z = np.zeros((MIXED, self.end + 1), np.float32)
-            z[:, hit[0]] = hit[1].T
+            rows, sums = by_row(*hit)
+            z[:, rows] = sums.T
             g["z"] = (z.sum(1, keepdims=True) * dist.T - z) / np.float32(n)
-        g["u"], g["b"] = h.T @ dg, dg.sum(0)
-        dt = (dg @ p["u"].T) * (1 - np.abs(h)) ** 2
-        g["o"], g["bh"] = o.T @ dt, dt.sum(0)
-        do = (dt @ p["o"].T).reshape(shape)
-        dv, ds = a.swapaxes(1, 2) @ do, do @ v.swapaxes(1, 2)
-        ds -= row_sums(do * o.reshape(shape))  # what the weighted sum of each row of ds is
+        ones = np.ones(len(e), e.dtype)
+        g["u"], g["b"] = across(h, dg), ones @ dg
+        back = np.empty((len(e), 3 * SIZE + HIDDEN), e.dtype)
+        dt = product(dg, p["u"].T)
+        dt *= slope
+        dt *= slope
+        back[:, 3 * SIZE :] = dt
+        g["o"], g["bh"] = across(o, dt), ones @ dt
+        do = product(dt, p["o"].T)
+        do *= part
+        # the weighted sum of each row of ds is taken off
+        o *= do
+        less, do = row_sums(o).reshape(*x.shape, 1), do.reshape(shape)
+        ds = do @ turned(v)
+        ds -= less
         ds *= a
         g["rel"] = np.bincount(self.lag.ravel(), np.where(self.future, 0, ds.sum(0)).ravel(), WINDOW).astype(np.float32)
-        back = np.concatenate([(ds @ k).reshape(e.shape), (ds.swapaxes(1, 2) @ q).reshape(e.shape), dv.reshape(e.shape), dt], 1)
-        g["q"], g["k"], g["v"], g["r"] = np.split(e.T @ back, [SIZE, 2 * SIZE, 3 * SIZE], 1)
+        for i, (left, right) in enumerate([(ds, k), (ds.swapaxes(1, 2), q), (a.swapaxes(1, 2), do)]):
+            np.matmul(left, right, out=back.reshape(shape)[..., i * SIZE : (i + 1) * SIZE])
+        g["q"], g["k"], g["v"], g["r"] = np.split(across(e, back), [SIZE, 2 * SIZE, 3 * SIZE], 1)
         g["q"] *= scale
-        de = back @ into.T
+        de = product(back, into.T)
         return out, g, by_row(xs, de), hit
 
     def step(self, state: dict, t: int, g: dict[str, np.ndarray], emb: Rows, rate: float) -> None:
@@ -273,7 +373,7 @@ class Attention:
         fix = rate / (1 - 0.9**t), 1 - 0.99**t
         for k, d, rows in [*((k, d, slice(None)) for k, d in g.items()), ("emb", emb[1], emb[0])]:
             a, b = state[k]
-            x, y = a[rows], b[rows]
+            x, y = (a.take(rows, 0), b.take(rows, 0)) if k == "emb" else (a, b)
             x = x + np.float32(0.1) * (d - x)
             y = y + np.float32(0.01) * (d * d - y)
             a[rows], b[rows] = x, y
@@ -303,34 +403,35 @@ class Tables:
         self.end, self.dist = end, dist
         pad = np.zeros((1, SIZE), np.float32)  # row -1 is outside of the text
         self.q = np.concatenate([p["emb"] @ p["q"] * np.float32(SIZE**-0.5), pad])
-        self.k, v = (np.concatenate([p["emb"] @ p[n], pad]) for n in "kv")
-        self.v = np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)  # the last column adds up the weights
+        self.k = np.concatenate([p["emb"] @ p["k"], pad])
+        # with the last column weights are added up; outside of the text it is 0 as well
+        v = np.concatenate([p["emb"] @ p["v"] @ p["o"], np.ones((end + 2, 1), np.float32)], 1)
+        self.v = np.concatenate([v, np.zeros((1, HIDDEN + 1), np.float32)])
         self.r = np.concatenate([p["emb"] @ p["r"] + p["bh"], pad])
-        self.o, self.u, self.b = p["o"], p["u"], p["b"]
+        self.u, self.b = p["u"], p["b"]
         c = WINDOW - STRIDE
         self.rel, self.seen = p["rel"][lag][c:], np.where(future, np.float32(0), np.float32(1))[c:]
         # with exponents in this range single precision needs no shift by the largest
         top = np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max() + np.abs(self.rel).max()
         self.plain = bool(top < 60 and np.abs(self.u).sum(0).max() + np.abs(self.b).max() < 60)
+        self.lags = np.exp(self.rel) * self.seen if self.plain else self.seen
 
     def weighted(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a window's last STRIDE places: the joint weights of components and targets, and these targets."""
         c = WINDOW - STRIDE
         late, y = x[:, c:], y[:, c:]
-        s = self.q.take(late, 0) @ self.k.take(x, 0).swapaxes(1, 2)
-        s += self.rel
+        s = self.q.take(late, 0) @ turned(self.k.take(x, 0))
         if not self.plain:
+            s += self.rel
             s -= np.where((self.seen > 0) & (x >= 0)[:, None, :], s, np.float32(-1e30)).max(-1, keepdims=True)
             np.minimum(s, 0, out=s)
         np.exp(s, out=s)
-        s *= self.seen
-        if (x < 0).any():
-            s *= (x >= 0).astype(np.float32)[:, None, :]
+        s *= self.lags
         h = s @ self.v.take(x, 0)
-        h = (h[..., :-1] / np.maximum(h[..., -1:], np.float32(1e-30))).reshape(-1, SIZE) @ self.o
+        h = (h[..., :-1] / np.maximum(h[..., -1:], np.float32(1e-30))).reshape(-1, HIDDEN)
         h += self.r.take(late.ravel(), 0)
         h /= 1 + np.abs(h)
-        g = (h @ self.u).reshape(*late.shape, MIXED)
+        g = product(h, self.u).reshape(*late.shape, MIXED)
         g += self.b
         if not self.plain:
             g -= g.max(-1, keepdims=True)
@@ -372,25 +473,25 @@ def pieces(ids: bytes, end: int, most: int = 1 << 19, each: int = STRIDE) -> Ite
         yield (x[1:], y[1:]) if lead else (x, y)
 
 
-def batches(ids: list[bytes], end: int, step: int = STRIDE) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(place of the run's first text, inputs, targets, each window's text in the run), in batches of bounded size."""
+def batches(ids: list[bytes], end: int, step: int = STRIDE, size: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the run's first text, inputs, targets, each window's text in the run), in batches of `size` windows at most."""
     first = 0
     for run in groups(ids):
         if len(run) == 1 and len(run[0]) > 1 << 20:
             for x, y in pieces(run[0], end, each=step):
-                for at in range(0, len(x), TOGETHER):
-                    yield first, x[at : at + TOGETHER], y[at : at + TOGETHER], np.zeros(len(x[at : at + TOGETHER]), np.int64)
+                for at in range(0, len(x), size):
+                    yield first, x[at : at + size], y[at : at + size], np.zeros(len(x[at : at + size]), np.int64)
         else:
             x, y, text = windows(*strung(run, end), end, step)
-            for at in range(0, len(x), TOGETHER):
-                yield first, x[at : at + TOGETHER], y[at : at + TOGETHER], text[at : at + TOGETHER]
+            for at in range(0, len(x), size):
+                yield first, x[at : at + size], y[at : at + size], text[at : at + size]
         first += len(run)
 
 
 def log_probabilities(model: Tables, ids: list[bytes]) -> np.ndarray:
     """log10 of the probability of each text."""
     out = np.zeros(len(ids))
-    for first, x, y, text in batches(ids, model.end):
+    for first, x, y, text in batches(ids, model.end, size=SCORED):
         g, y = model.weighted(x, y)
         p = np.log10(np.maximum((g @ np.ones((MIXED, 1), np.float32))[..., 0], np.float32(1e-37))) * (y >= 0)
         out += np.bincount(first + text, p.sum(1, dtype=np.float64), len(out))
@@ -441,31 +542,16 @@ def explained(texts: DataFrame, model: Tables) -> np.ndarray:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        total, ids, shares, held = np.zeros((MIXED, m.end + 1)), [], [], 0
-
-        def add() -> None:
-            all_ids, all_shares = np.concatenate(ids), np.concatenate(shares)
-            for c in range(MIXED):
-                total[c] += np.bincount(all_ids, all_shares[:, c], m.end + 1)
-            ids.clear()
-            shares.clear()
-
+        total = np.zeros((m.end + 1, MIXED))
         for part in parts:
-            for _, x, y, _ in batches(part.column(0).to_pylist(), m.end):
+            for _, x, y, _ in batches(part.column(0).to_pylist(), m.end, size=SCORED):
                 g, y = m.weighted(x, y)
-                has = y >= 0
-                g = g[has]
-                g /= np.maximum(g @ np.ones((MIXED, 1), np.float32), np.float32(1e-30))
-                ids.append(y[has])
-                shares.append(g)
-                held += len(g)
-                if held > 1 << 18:
-                    add()
-                    held = 0
-        if ids:
-            add()
-        used = np.flatnonzero(total.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[c, used]) for c in range(MIXED)]], ["id", *[f"c{c}" for c in range(MIXED)]])
+                # places without a target give nothing to id 0
+                g *= (y >= 0)[..., None] / np.maximum(row_sums(g), np.float32(1e-30))
+                ids, sums = by_row(np.maximum(y, 0).ravel(), g.reshape(-1, MIXED))
+                total[ids] += sums
+        used = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *[pa.array(total[used, c]) for c in range(MIXED)]], ["id", *[f"c{c}" for c in range(MIXED)]])
 
     names = [f"c{c}" for c in range(MIXED)]
     got = texts.select("ids").mapInArrow(run, "id int, " + ", ".join(f"{n} double" for n in names)).groupBy("id").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
@@ -498,7 +584,8 @@ def descended(shards: DataFrame, model: Attention, rate: float) -> np.ndarray:
             told, met, seen, t = np.zeros((m.end + 1, MIXED)), np.zeros(top, np.int64), 0, 0
             for _, x, y, _ in batches(ids, m.end, WINDOW):
                 _, g, emb, hit = m.loss(x, y, dist)
-                told[hit[0]] += hit[1]
+                ids_hit, sums = by_row(*hit)
+                told[ids_hit] += sums
                 met += np.bincount(x[x >= 0], minlength=top)
                 seen, t = seen + int((y >= 0).sum()), t + 1
                 m.step(state, t, g, emb, rate)
