@@ -42,7 +42,7 @@ SIZE, HIDDEN, MIXED = 16, 16, 16
 SAMPLE, STEPS, BATCH, PER_TEXT = 8192, 240, 192, 4
 ROUNDS, RATE, SHARD, UNIT = 4, 0.004, 1 << 20, float(1 << 16)
 SMOOTH = 50.0
-CACHED, SLICE, TOGETHER, SCORED, BLOCK = 200_000, 1 << 22, 256, 64, 256
+CACHED, SLICE, TOGETHER, SCORED, BLOCK, HASHED = 200_000, 1 << 22, 256, 64, 256, 200_000
 BLANK = re.compile(r"[^\S ]")
 _lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -146,12 +146,12 @@ def words_in(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.bincount(text.filter(some).to_numpy(), minlength=len(texts)), words.filter(some)
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """Runs of texts of about SLICE bytes at most, for words and their numbers take many times the room of the text; a longer text is a run of its own."""
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """Runs of texts of `most` bytes at most, for words and their numbers take many times the room of the text; a longer text is a run of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield texts.slice(at, end - at)
         at = end
 
@@ -161,7 +161,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for some in slices(part.column(0).cast(pa.string())):
+            for some in slices(part.column(0).cast(pa.string()), 4 * SLICE):  # the longer, the fewer rows
                 tally = words_in(some)[1].value_counts()
                 yield pa.RecordBatch.from_arrays([tally.field(0).cast(pa.binary()), tally.field(1)], ["word", "c"])
         tidy()
@@ -360,7 +360,7 @@ class Attention:
         ds = do @ turned(v)
         ds -= less
         ds *= a
-        g["rel"] = np.bincount(self.lag.ravel(), np.where(self.future, 0, ds.sum(0)).ravel(), WINDOW).astype(np.float32)
+        g["rel"] = np.bincount(self.lag.ravel(), np.where(self.future.ravel(), 0, ones[: len(ds)] @ ds.reshape(len(ds), -1)), WINDOW).astype(np.float32)
         for i, (left, right) in enumerate([(ds, k), (ds.swapaxes(1, 2), q), (a.swapaxes(1, 2), do)]):
             np.matmul(left, right, out=back.reshape(shape)[..., i * SIZE : (i + 1) * SIZE])
         g["q"], g["k"], g["v"], g["r"] = np.split(across(e, back), [SIZE, 2 * SIZE, 3 * SIZE], 1)
@@ -501,8 +501,8 @@ def log_probabilities(model: Tables, ids: list[bytes]) -> np.ndarray:
 # -- over tables
 
 
-def sampled(ids: Column, salt: Column) -> Column:
-    """Up to PER_TEXT windows of a text at places drawn from its salt, as hashes and 16-bit ids (the id before, then WINDOW ids)."""
+def sampled(ids: Column, salt: Column, below: int) -> Column:
+    """Up to PER_TEXT windows of a text at places drawn from its salt, as hashes and 16-bit ids (the id before, then WINDOW ids); of these those with a hash below `below`."""
 
     def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, salts in parts:
@@ -511,7 +511,8 @@ def sampled(ids: Column, salt: Column) -> Column:
                 n = len(b) // 2
                 rng = np.random.default_rng(int(s) & (1 << 63) - 1)
                 at = sorted(set(rng.integers(0, max(1, n - WINDOW + 1), PER_TEXT).tolist()))
-                out.append([{"h": int(rng.integers(1 << 62)), "first": a == 0, "w": b[2 * max(0, a - 1) : 2 * (a + WINDOW)]} for a in at])
+                drawn = [(h, a) for a in at if (h := int(rng.integers(1 << 62))) < below]
+                out.append([{"h": h, "first": a == 0, "w": b[2 * max(0, a - 1) : 2 * (a + WINDOW)]} for h, a in drawn])
             yield pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<struct<h:bigint,first:boolean,w:binary>>")(ids, salt)
@@ -522,7 +523,7 @@ def started(texts: DataFrame, end: int) -> Attention:
     model = Attention(end)
     # every text has a window or more, so this share of all hashes holds SAMPLE windows with room to spare, and tasks send a bounded number
     share = min(1.0, 1.5 * SAMPLE / max(1, texts.count()))
-    drawn = texts.select(F.explode(sampled(F.col("ids"), F.col("key"))).alias("s")).select("s.*").where(F.col("h") < int(share * (1 << 62)))
+    drawn = texts.select(F.explode(sampled(F.col("ids"), F.col("key"), int(share * (1 << 62)))).alias("s")).select("s.*")
     rows = drawn.orderBy("h", "w").limit(SAMPLE).collect()
     x, y = np.full((len(rows), WINDOW), -1, np.int64), np.full((len(rows), WINDOW), -1, np.int64)
     for i, r in enumerate(rows):
@@ -581,15 +582,15 @@ def descended(shards: DataFrame, model: Attention, rate: float) -> np.ndarray:
             m = Attention(first.end)
             m.p = {k: v.copy() for k, v in first.p.items()}
             state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.p.items() if k != "z"}
-            told, met, seen, t = np.zeros((m.end + 1, MIXED)), np.zeros(top, np.int64), 0, 0
+            told, met, seen, t = np.zeros((m.end + 1, MIXED)), [], 0, 0
             for _, x, y, _ in batches(ids, m.end, WINDOW):
                 _, g, emb, hit = m.loss(x, y, dist)
                 ids_hit, sums = by_row(*hit)
                 told[ids_hit] += sums
-                met += np.bincount(x[x >= 0], minlength=top)
+                met.append(x[x >= 0])
                 seen, t = seen + int((y >= 0).sum()), t + 1
                 m.step(state, t, g, emb, rate)
-            w = np.append(met, np.full(rows, seen))
+            w = np.append(np.bincount(np.concatenate(met), minlength=top), np.full(rows, seen))
             move = np.concatenate([m.p["emb"] - first.p["emb"], flat(m.p) - flat(first.p)]).astype(np.float64)
             moved[:] += np.rint(move * w[:, None] * UNIT).astype(np.int64)
             weight[:] += w
@@ -651,7 +652,9 @@ def trained(texts: DataFrame, end: int) -> Attention:
 def base_scores(texts: DataFrame, counts: DataFrame, n: int, v: int, ends: int) -> DataFrame:
     """rid, n_known, train_tokens and base_score of stored texts (rid, n_words, logs, known, words, counts); counts (word, c) of the words that texts list."""
     pairs = texts.select("rid", F.explode(F.arrays_zip("words", "counts")).alias("p")).select("rid", F.col("p.words").alias("word"), F.col("p.counts").alias("k"))
-    rare = pairs.join(counts, "word")  # words without a count add log10(1) = 0
+    # a table of words in memory, in so many parts that each is small, spares sorting all pairs
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-v // HASHED))
+    rare = pairs.repartition(parts, "word").join(counts.repartition(parts, "word").hint("shuffle_hash"), "word")  # words without a count add log10(1) = 0
     rare = rare.groupBy("rid").agg(F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum("k").alias("met"))
     z, end_log = float(np.log10(n + v + 1)), float(np.log10(ends + 1.0))
     return texts.select("rid", "n_words", "logs", "known").join(rare, "rid", "left").select(

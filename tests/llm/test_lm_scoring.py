@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from larder.llm import lm_scoring as lm
@@ -166,3 +167,40 @@ def test_shuffled_ids_go_when_a_round_has_ended(spark, monkeypatch):
     model = lm.trained(texts, 300)
     assert model.dist is not None and len(left) == lm.ROUNDS
     assert max(left[2:]) <= left[1], left  # one round's at most, not those of all
+
+
+def test_words_of_many_texts_are_encoded_in_few_calls(monkeypatch):
+    path, calls = public_tokenizers.path("byte_bpe_50k.tiktoken"), []
+    real = lm.encoder(path)
+
+    class Counted:
+        n_vocab = real.n_vocab
+        decode_single_token_bytes = real.decode_single_token_bytes
+
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return real.encode_ordinary(text)
+
+        def encode_to_numpy(self, text, **more):
+            calls.append(text)
+            return real.encode_to_numpy(text, **more)
+
+    monkeypatch.setattr(lm, "encoder", lambda path: Counted())
+    odd = "it's 's 123   a b c  x\u0085 　　 ​ d\x1ce Éa ,,, \U0001f600"
+    texts = pa.array(["", " ", "A\x0bB  c\n", odd, " ".join(f"w{i} é{i}" for i in range(3000)), None])
+    n, words = lm.words_in(texts)
+    assert n.tolist() == [len(lm.split(t)) for t in texts.to_pylist()]
+    words = words.cast(pa.binary()).to_pylist()
+    assert words == [w for t in texts.to_pylist() for w in lm.split(t)]
+    ids, sizes = lm.Words(path).encoded(words)
+    plain = [real.encode_ordinary(" " + w.decode()) for w in words]
+    assert ids.tolist() == [k for one in plain for k in one] and sizes.tolist() == [len(one) for one in plain]
+    assert len(calls) < 20
+
+
+def test_rare_words_meet_their_counts_without_a_sort(spark):
+    texts = spark.createDataFrame([(1, 2, 0.0, 0, [bytearray(b"a"), bytearray(b"b")], [2, 1])], "rid long, n_words long, logs double, known long, words array<binary>, counts array<int>")
+    counts = spark.createDataFrame([(bytearray(b"a"), 9)], "word binary, c long")
+    got = lm.base_scores(texts, counts, 10, 5, 1)
+    assert "ShuffledHashJoin" in got._jdf.queryExecution().toString()
+    assert math.isclose(got.first().base_score, 2 + math.log10(2) - 3 * math.log10(16))
