@@ -25,6 +25,7 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -108,17 +109,17 @@ class Words:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The numbers of distinct words."""
-        seen = self.seen
-        out = list(map(seen.get, words))
-        if None in out:
-            new = [w for w, k in zip(words, out, strict=True) if k is None]
-            seen.update(zip(new, range(len(seen), len(seen) + len(new))))
+        out = np.array(list(map(self.seen.get, words, repeat(-1))), np.int64)
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            new = [words[k] for k in at.tolist()]
+            out[at] = np.arange(len(self.seen), len(self.seen) + len(new))
+            self.seen.update(zip(new, out[at].tolist(), strict=True))
             ids, sizes = self.encoded(new)
             self.flat = np.concatenate([self.flat, ids])
             self.at = np.append(self.at, self.at[-1] + np.cumsum(sizes))
-            self.told = np.append(self.told, [self.known.get(w, np.nan) for w in new])
-            out = list(map(seen.__getitem__, words))
-        return np.array(out, np.int64)
+            self.told = np.append(self.told, np.array(list(map(self.known.get, new, repeat(np.nan)))))
+        return out
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has."""
@@ -298,9 +299,8 @@ class Attention:
         pad, n = x < 0, max(int((y >= 0).sum()), 1)
         has, xs, ys = (y >= 0).astype(np.float32).reshape(-1, 1), np.where(pad, self.end + 1, x).ravel(), np.maximum(y, 0).ravel()
         e = p["emb"].take(xs, 0)
-        into = np.concatenate([p["q"] * scale, p["k"], p["v"], p["r"]], 1)
-        all_of_e = product(e, into)
-        q, k, v = (all_of_e[:, i : i + SIZE] for i in (0, SIZE, 2 * SIZE))
+        into = {"q": p["q"] * scale, "k": p["k"], "v": p["v"], "r": p["r"]}
+        q, k, v, r = (product(e, w) for w in into.values())  # each in an array of its own, for products of strided ones take twice the time
         q, k, v = q.reshape(shape), k.reshape(shape), v.reshape(shape)
         a = q @ turned(k)
         plain = max(a.max(initial=0), -a.min(initial=0)) + np.abs(p["rel"]).max() < 60  # exponents in this range need no shift by the largest
@@ -316,7 +316,7 @@ class Attention:
         o = (a @ v).reshape(e.shape)
         o *= part
         h = product(o, p["o"])
-        h += all_of_e[:, 3 * SIZE :]
+        h += r
         h += p["bh"]
         slope = np.abs(h)
         slope += 1
@@ -346,11 +346,9 @@ class Attention:
             g["z"] = (z.sum(1, keepdims=True) * dist.T - z) / np.float32(n)
         ones = np.ones(len(e), e.dtype)
         g["u"], g["b"] = across(h, dg), ones @ dg
-        back = np.empty((len(e), 3 * SIZE + HIDDEN), e.dtype)
         dt = product(dg, p["u"].T)
         dt *= slope
         dt *= slope
-        back[:, 3 * SIZE :] = dt
         g["o"], g["bh"] = across(o, dt), ones @ dt
         do = product(dt, p["o"].T)
         do *= part
@@ -361,11 +359,13 @@ class Attention:
         ds -= less
         ds *= a
         g["rel"] = np.bincount(self.lag.ravel(), np.where(self.future.ravel(), 0, ones[: len(ds)] @ ds.reshape(len(ds), -1)), WINDOW).astype(np.float32)
-        for i, (left, right) in enumerate([(ds, k), (ds.swapaxes(1, 2), q), (a.swapaxes(1, 2), do)]):
-            np.matmul(left, right, out=back.reshape(shape)[..., i * SIZE : (i + 1) * SIZE])
-        g["q"], g["k"], g["v"], g["r"] = np.split(across(e, back), [SIZE, 2 * SIZE, 3 * SIZE], 1)
+        back = {"q": ds @ k, "k": ds.swapaxes(1, 2) @ q, "v": a.swapaxes(1, 2) @ do, "r": dt}
+        de = np.zeros_like(e)
+        for name, d in back.items():
+            d = d.reshape(len(e), -1)
+            g[name] = across(e, d)
+            de += product(d, into[name].T)
         g["q"] *= scale
-        de = product(back, into.T)
         return out, g, by_row(xs, de), hit
 
     def step(self, state: dict, t: int, g: dict[str, np.ndarray], emb: Rows, rate: float) -> None:
@@ -545,7 +545,7 @@ def explained(texts: DataFrame, model: Tables) -> np.ndarray:
         m = shared.value
         total = np.zeros((m.end + 1, MIXED))
         for part in parts:
-            for _, x, y, _ in batches(part.column(0).to_pylist(), m.end, size=SCORED):
+            for _, x, y, _ in batches(part.column(0).to_pylist(), m.end):
                 g, y = m.weighted(x, y)
                 # places without a target give nothing to id 0
                 g *= (y >= 0)[..., None] / np.maximum(row_sums(g), np.float32(1e-30))
