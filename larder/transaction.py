@@ -83,9 +83,13 @@ class Reader:
         """A cursor in key order over the state at this moment, from low (inclusive)."""
         return self._cursor(self.ordered(low))
 
+    def uncached(self) -> DataFrame:
+        """What items_uncached() walks, as a frame: the rows in key order, never persisted, left to the executors."""
+        return self.ordered()
+
     def items_uncached(self) -> Iterator[tuple[bytes, bytes]]:
         """The same rows; nothing is kept for later reads (items() keeps nothing either, but may)."""
-        return self._cursor(self.ordered())
+        return self._cursor(self.uncached())
 
     def _cursor(self, df: DataFrame) -> Iterator[tuple[bytes, bytes]]:
         rows = self._store._core.guarded(lambda: df.toLocalIterator())
